@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import frames, ranks
 
@@ -100,8 +100,8 @@ def truncate_code(code: Column, width: int = 100) -> Column:
 
 def code_snippet(lines: DataFrame, before: int = 2, after: int = 2) -> DataFrame:
     """Lines around each line, joined; the frame bounds the list."""
-    collected = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda s: s["text"]), "\n")
-    return frames.framed(lines, ["file_id"], "line_no", {"snippet": (F.array_join(F.collect_list("text"), "\n"), -before, after)})
+    around = frames.framed(lines, ["file_id"], "line_no", {"around": (F.collect_list("text"), -before, after)})
+    return around.withColumn("snippet", F.array_join("around", "\n")).drop("around")
 
 
 def file_profile(lines: DataFrame) -> DataFrame:
@@ -109,6 +109,7 @@ def file_profile(lines: DataFrame) -> DataFrame:
     length = F.length("text")
     return lines.groupBy("file_id").agg(
         F.count("*").alias("n_lines"),
+        F.sum(length).alias("total_length"),
         F.avg(length).alias("avg_length"),
         F.max(length).alias("max_length"),
         F.sum(length - F.length(F.replace("text", F.lit(";"), F.lit("")))).alias("semicolons"),
@@ -122,3 +123,24 @@ def union_findings(*parts: DataFrame) -> DataFrame:
 def taint_chain(taint: DataFrame) -> DataFrame:
     """Readable origin of each tainted variable."""
     return taint.withColumn("chain", F.format_string("%s <- %s source (line %d)", "var", "label", "origin_line"))
+
+
+def message() -> Column:
+    """Message of a finding from its rule and place."""
+    return F.format_string("%s [%s] at line %d", "vulnerability", "category", "line_no")
+
+
+# Identifier shapes that hint at secrets and at table names.
+SECRET_NAME = r"(?i)passw(?:or)?d|secret|token|api_?key|credential"
+TABLE_NAME = r"(?i)table|tbl|entity"
+
+
+def named(df: DataFrame, col: str = "name") -> DataFrame:
+    """Rows whose identifier looks like a secret or a table name."""
+    return df.filter(F.col(col).rlike(SECRET_NAME) | F.col(col).rlike(TABLE_NAME))
+
+
+def block_depth(lines: DataFrame) -> DataFrame:
+    """Open braces up to and including each line."""
+    delta = F.length(F.regexp_replace("text", r"[^{]", "")) - F.length(F.regexp_replace("text", r"[^}]", ""))
+    return frames.running_sum(lines, ["file_id"], "line_no", delta, "depth")

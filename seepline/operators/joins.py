@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import frames, text as tx
+from ..plans.durable import cut
 from . import facts
 
 VAR = ["file_id", "scope_id", "var"]
@@ -40,7 +41,7 @@ def flow_sensitive(points: DataFrame, assigns: DataFrame, depth: int = 4) -> Dat
         lang, rhs = F.col("lang"), F.col("rhs")
         source = tx.by_language(lang, lambda l: tx.matches(rhs, l.source) & ~tx.matches(rhs, l.safe_source))
         killed = tx.by_language(lang, lambda l: tx.matches(rhs, l.killer))
-        judged = placed.withColumn("source", source).filter(~killed)
+        judged = cut(placed.withColumn("source", source).filter(~killed))
         hits = judged.filter("source").select("file_id", "scope_id", F.col("at_var").alias("var"), F.col("at_line").alias("line_no"))
         found = hits if found is None else found.unionByName(hits)
         if step == depth - 1:
