@@ -143,7 +143,7 @@ def match_rules(lines: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         n = contexts[pattern]
         name = f"m{n // 62}_{frame[0]}_{frame[1]}".replace("-", "n")
         aggregates[name] = (F.bit_or(f"mask{n // 62}"), *frame)
-        return f"({name} & {1 << (n % 62)}L) <> 0"
+        return f"(coalesce({name}, 0L) & {1 << (n % 62)}L) <> 0"
 
     verdicts = {}
     for i, r in enumerate(ordered):
