@@ -70,12 +70,15 @@ def qualified_names(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(QUALIFIED), F.lit(1)))
 
 
+# An assignment sign before any bracket or quote; what follows is group 1.
+RIGHT_HAND = r"""^[^=("'`]*[^=!<>("'`]=([^=>].*)$"""
+
+
 def right_hand_side(text: Column) -> Column:
-    """Text right of the first ``=``; whole text for conditions and lines without one."""
-    at = F.instr(text, "=")
-    return F.when(text.rlike(r"^\s*(?:if|while)\b") | (at == 0), text).otherwise(
-        F.substring(text, at + F.lit(1), F.length(text))
-    )
+    """Text right of an assignment sign; the whole text for conditions, calls with named
+    arguments and lines that assign nothing."""
+    part = F.regexp_extract(text, RIGHT_HAND, 1)
+    return F.when(text.rlike(r"^\s*(?:if|while)\b") | (part == ""), text).otherwise(part)
 
 
 # Shapes of assembled strings, bound placeholders and numeric formats.

@@ -25,7 +25,7 @@ RULES = pack(
     R("cs-arguments", CMD, r"\.?\bArguments\s*=", "Process arguments with user data", "CRITICAL/HIGH", label="user", hit='psi.Arguments = "/c " + v{a};', miss='psi.Arguments = "/c dir";'),
     R("cs-arguments-tool", CMD, r"(?i)\bArguments\s*=.*\b" + TOOLS + r"\b.*(?:[\"']\s*\+|\{)", "Tool arguments assembled from parts", "HIGH/MEDIUM", hit='psi.Arguments = "ping " + host;', miss='psi.Arguments = "ping localhost";'),
     R("cs-process", CMD, r"Process\.Start\s*\(|ProcessStartInfo", "Process with user data", "CRITICAL/HIGH", label="user", hit="Process.Start(v{a});", miss='Process.Start("notepad");'),
-    R("cs-process-shell", CMD, r"Process\.Start\s*\(|ProcessStartInfo", "Shell with command flag", "CRITICAL/HIGH", label="user", plain="MEDIUM/MEDIUM", near=SHELL_LINE, near_frame=(-1, 3), hit='Process.Start("cmd.exe", "/c dir");'),
+    R("cs-process-shell", CMD, r"Process\.Start\s*\(|ProcessStartInfo", "Shell with command flag", "CRITICAL/HIGH", label="user", plain="MEDIUM/MEDIUM", near=SHELL_LINE, near_frame=(-1, 3), hit='Process.Start("cmd.exe", "/c " + v{a});', miss='Process.Start("notepad.exe", v{a});'),
     R("cs-process-shell-concat", CMD, r"(?:Process\.Start\s*\(|ProcessStartInfo).*\+", "Shell command assembled from parts", "HIGH/HIGH", near=SHELL_LINE, near_frame=(-1, 3), hit='Process.Start("cmd.exe", "/c " + name);'),
     R("cs-psi-shell", CMD, r"new\s+ProcessStartInfo\s*\{", "Shell started from an initializer", "HIGH/HIGH", near=SHELL_FILE, near_frame=(0, 10), hit='var p{a} = new ProcessStartInfo {\n  FileName = "cmd.exe",\n  Arguments = "/c " + name\n};'),
     R("cs-invoke", CMD, r"\.InvokeMember\s*\(|MethodInfo.*\.Invoke\s*\(", "Process started by reflection", "CRITICAL/HIGH", label="user", plain="HIGH/HIGH", near=r"(?i)Process|Start|Shell|Command|Execute", near_frame=(-9, 1), hit='t.InvokeMember("Start", f, null, null, v{a});'),

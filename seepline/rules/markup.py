@@ -18,5 +18,4 @@ RULES = pack(
     R("ml-proto", PROTO, r"\[\s*['\"]__proto__['\"]\s*\]|\.__proto__\b|\.constructor\.prototype\b", "Prototype reached by name", "CRITICAL/HIGH", absent=r"hasOwnProperty", absent_frame=(-4, 2), hit="<script>o.__proto__.x = 1</script>"),
     R("ml-template-raw", RXSS, r"\{\{\{\s*\w+\s*\}\}\}|<%-\s*\w+\s*%>", "Unescaped template value", "CRITICAL/HIGH", hit="<p>{{{ name }}}</p>", miss="<p>{{ name }}</p>"),
     R("ml-javascript-url", RXSS, r"(?i)href\s*=\s*['\"]?\s*javascript:|on\w+\s*=\s*['\"][^\"']*\{\{", "Script in an attribute", "HIGH/HIGH", hit='<a href="javascript:run()">x</a>', miss='<a href="/x">x</a>'),
-    R("ml-inline-script", DOMXSS, r"(?i)<script[^>]*>[^<]*(?:track|write)\s*\(", "Inline call in a page", "LOW/LOW", priority=-1, hit="<script>track(1)</script>"),
 )

@@ -81,7 +81,7 @@ def unsecured_factories(spark, d):
     return joins.unsecured_factories(code(spark, d, ("java",))).select("file_id", "var", "line_no", "factory")
 
 
-POINTS = "pt as (select distinct file_id, lang, line_no, unnest({}) as var from code where contains(text, '(') and lang <> 'webconfig')".format(sf.idents(r"case when regexp_matches(text, '^\s*(?:if|while)\b') or instr(text, '=') = 0 then text else substr(text, instr(text, '=') + 1) end"))
+POINTS = "pt as (select distinct file_id, lang, line_no, unnest({}) as var from code where contains(text, '(') and lang <> 'webconfig')".format(sf.idents(sf.rhs_sql("text")))
 
 
 def points(spark, d, langs=None):
@@ -176,7 +176,7 @@ FLD = f"fset as (select file_id, class_name, regexp_extract(text, {quote(joins.F
 @query(
     "field_taint",
     R + "," + sf.full_taint() + "," + CLS + "," + FLD
-    + rf", fr as (select file_id, class_name, line_no, unnest(list_distinct(regexp_extract_all(case when regexp_matches(text, '^\s*(?:if|while)\b') or instr(text, '=') = 0 then text else substr(text, instr(text, '=') + 1) end, {quote(joins.FIELD_USE)}, 1))) field from cls where class_name is not null)"
+    + rf", fr as (select file_id, class_name, line_no, unnest(list_distinct(regexp_extract_all({sf.rhs_sql("text")}, {quote(joins.FIELD_USE)}, 1))) field from cls where class_name is not null)"
     " select fr.file_id, fr.class_name, fr.field, fr.line_no from fr join fld on fld.file_id = fr.file_id and fld.class_name = fr.class_name and fld.field = fr.field",
 )
 def field_taint(spark, d):

@@ -9,7 +9,7 @@ from seepline.plans import scan
 from seepline.rules import rules_for
 
 from . import sqlfacts as sf
-from .corpus import LANGS
+from .corpus import LANGS, LINES_SQL
 from .q_sources import lines
 from .registry import query
 
@@ -29,30 +29,19 @@ for _lang in LANGS:
         _register(_lang, _category, tuple(r for r in _rules if r.category == _category))
 
 
-# Markup rules run over the pages, whole.
+# Markup rules run over the pages, each with one of the rules' own samples appended.
 from seepline.operators import detect as det, facts  # noqa: E402
 
-from .corpus import quote, tables  # noqa: E402
+from .corpus import pick, quote, samples, tables  # noqa: E402
 
 MARKUP = rules_for("markup")
-PAGES_SQL = r"""
- split as (select page_id as file_id, string_split_regex(regexp_replace(html, '(?:\r\n|\n|\r)\z', ''), '\r\n|\n|\r') parts from pages),
- lines as (select file_id, 'markup' as lang, unnest(range(1, len(parts) + 1)) line_no, unnest(parts) as text from split)"""
+SAMPLES = samples("markup")
+PAGES_SQL = f"""
+ files as (select page_id as file_id, 'markup' as lang, html || chr(10) || [{",".join(quote(x) for x in SAMPLES)}][page_id % {len(SAMPLES)} + 1] as content from pages),""" + LINES_SQL
 
 
 @query("pack_markup", sf.query([PAGES_SQL, sf.pack_hits("markup", MARKUP, False), sf.GRADED], "select * from best"))
 def pack_markup(spark, d):
-    pages = tables(spark, d, "pages").select(F.col("page_id").alias("file_id"), F.lit("markup").alias("lang"), F.col("html").alias("content"))
+    content = F.concat("html", F.lit("\n"), F.expr(pick(SAMPLES, f"page_id % {len(SAMPLES)}")))
+    pages = tables(spark, d, "pages").select(F.col("page_id").alias("file_id"), F.lit("markup").alias("lang"), content.alias("content"))
     return fnd.dedup_findings(fnd.suppress_inline(det.detect(facts.explode_lines(pages), MARKUP)))
-
-
-# Rules that need no taint also read plain documents and conversations.
-TEXT_SQL = r"""
- split as (select doc_id as file_id, string_split_regex(regexp_replace(text, '(?:\r\n|\n|\r)\z', ''), '\r\n|\n|\r') parts from documents),
- lines as (select file_id, 'markup' as lang, unnest(range(1, len(parts) + 1)) line_no, unnest(parts) as text from split)"""
-
-
-@query("pack_markup_documents", sf.query([TEXT_SQL, sf.pack_hits("markup", MARKUP, False), sf.GRADED], "select * from best"))
-def pack_markup_documents(spark, d):
-    docs = tables(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.lit("markup").alias("lang"), F.col("text").alias("content"))
-    return fnd.dedup_findings(fnd.suppress_inline(det.detect(facts.explode_lines(docs), MARKUP)))

@@ -187,7 +187,7 @@ def extract_resources(spark, d):
     return facts.extract_bindings(code(spark, d)).select("file_id", "line_no", "lhs", "rhs")
 
 
-RHS_SQL = r"case when regexp_matches(text, '^\s*(?:if|while)\b') or instr(text, '=') = 0 then text else substr(text, instr(text, '=') + 1) end"
+RHS_SQL = sf.rhs_sql("text")
 
 
 @query("rhs_only", LW + f" select file_id, line_no, {RHS_SQL} as part from lines")

@@ -21,6 +21,11 @@ def rx(subject: str, pattern: str) -> str:
     return f"regexp_matches({subject}, {quote(pattern)})"
 
 
+def rhs_sql(subject: str) -> str:
+    part = f"regexp_extract({subject}, {quote(tx.RIGHT_HAND)}, 1)"
+    return f"case when regexp_matches({subject}, '^\\s*(?:if|while)\\b') or {part} = '' then {subject} else {part} end"
+
+
 def case(build, langs=None, default: str | None = None) -> str:
     names = langs or CODE_LANGS
     arms = " ".join(f"when {quote(n)} then {build(LANGUAGES[n])}" for n in names)
@@ -221,7 +226,7 @@ def pack_hits(lang: str, rules, with_taint: bool) -> str:
     out = f"{rules_values(rules)}, hit as ({' union all '.join(arms)})"
     if not with_taint:
         return out + ", flagged as (select h.*, false as tainted from hit h)"
-    rhs = "case when regexp_matches(code, '^\\s*(?:if|while)\\b') or instr(code, '=') = 0 then code else substr(code, instr(code, '=') + 1) end"
+    rhs = rhs_sql("code")
     direct = rx("part", LANGUAGES[lang].direct)
     star = "list_append(" + idents("part", (lang,)) + ", '*')" if lang == "php" else idents("part", (lang,))
     return out + f""",
