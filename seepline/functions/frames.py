@@ -67,13 +67,15 @@ def running_last(
     else:
         within = w.orderBy(pos).rangeBetween(Window.unboundedPreceding, -1)
         local = F.last("_value", ignorenulls=True).over(within)
-    # What earlier blocks of the key leave behind: one small row per (key, block).
-    ends = rows.groupBy(*keys, "_block").agg(
-        F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(pos, *tie))).alias("_end")
-    )
+    # What earlier blocks of the key leave behind. Only rows with a value and rows beyond
+    # the first block take part; both conditions are pushed below whatever made the rows.
+    last = F.max_by("_value", F.struct(pos, *tie))
+    ends = rows.filter("_value is not null").groupBy(*keys, "_block").agg(last.alias("_end"))
+    later = rows.filter(F.col(pos) >= block).select(*keys, "_block").distinct()
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        ends.withColumn("_carry", F.last("_end", ignorenulls=True).over(before))
+        later.join(ends, [*keys, "_block"], "full")
+        .withColumn("_carry", F.last("_end", ignorenulls=True).over(before))
         .filter("_block > 0 and _carry is not null")
         .drop("_end")
     )

@@ -84,9 +84,11 @@ def def_use_edges(assigns: DataFrame, langs: Iterable[str] | None = None) -> Dat
     base = tx.by_language(
         lang, lambda l: F.regexp_extract(rhs, ACCESS[l.name], 1), [n for n in _langs(langs) if n in ACCESS]
     )
-    access = F.when(
-        base != "", F.transform(F.array(*[F.lit(x) for x in ("db", "json", "unser")]), lambda x: F.struct(base.alias("src"), x.alias("label")))
-    )
+    # Only languages with decoder labels pass them on.
+    carried = F.lit(["db"])
+    if any(n in LABEL_SEEDS for n in _langs(langs)):
+        carried = F.when(lang.isin(*LABEL_SEEDS), F.lit(["db", "json", "unser"])).otherwise(carried)
+    access = F.when(base != "", F.transform(carried, lambda x: F.struct(base.alias("src"), x.alias("label"))))
     none = F.array().cast("array<struct<src:string,label:string>>")
     return (
         assigns.select(
@@ -195,12 +197,8 @@ def propagate(seeds: DataFrame, edges: DataFrame, max_hops: int | None = None) -
     column carry any label.
     """
     on = [c for c in KEY if c != "label" or "label" in edges.columns]
-    # Partitioned on the join key once; every hop reads it in place.
-    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    steps = cut(
-        edges.select(*[F.col("src").alias(c) if c == "var" else F.col(c) for c in on], "dst")
-        .repartition(parts, *on).distinct()
-    )
+    # Distinct before the first hop: a hop reads names only, once per pair of names.
+    steps = cut(edges.select(*[F.col("src").alias(c) if c == "var" else F.col(c) for c in on], "dst").distinct())
     frontier = cut(
         seeds.groupBy(*KEY).agg(F.min("line_no").cast("int").alias("origin_line")).withColumn("hop", F.lit(0))
     )

@@ -75,9 +75,9 @@ def seeds_edges(langs=None) -> str:
 seed0 as (select file_id, scope_id, lhs as var, 'user' as label, line_no from tgt where {user}
   union all select file_id, scope_id, lhs, 'db', line_no from tgt where {db}{more}),
 use0 as (select file_id, scope_id, line_no, lhs dst, 'user' as label, unnest({idents('rhs', langs)}) src from tgt where not {killed}),
-acc0 as (select file_id, scope_id, line_no, lhs dst, {access} src from tgt),
+acc0 as (select file_id, lang, scope_id, line_no, lhs dst, {access} src from tgt),
 edge0 as (select file_id, scope_id, src, dst, label, line_no from use0 where src <> dst
-  union all select file_id, scope_id, src, dst, l.label, line_no from acc0, (values ('db'),('json'),('unser')) l(label) where src <> '' and src <> dst)"""
+  union all select file_id, scope_id, src, dst, l.label, line_no from acc0, (values ('db'),('json'),('unser')) l(label) where src <> '' and src <> dst and (l.label = 'db' or lang in ({','.join(quote(x) for x in LABEL_SEEDS)})))"""
 
 
 def functions(langs=None, source: str = "code") -> str:
