@@ -49,12 +49,20 @@ def file_taint(lines: DataFrame, langs: Sequence[str]) -> Taint:
     return Taint(marks, facts.sanitized_vars(assigns))
 
 
-def scan_language(lines: DataFrame, lang: str, rules: Sequence[Rule] | None = None) -> DataFrame:
-    """Graded hits of one language's rules; taint is computed only if a rule asks for it."""
+def write_taint(taint: Taint) -> Taint:
+    """Write taint once so that several rule packs can read it."""
+    return Taint(cut(taint.marks), cut(taint.sanitized))
+
+
+def scan_language(
+    lines: DataFrame, lang: str, rules: Sequence[Rule] | None = None, taint: Taint | None = None
+) -> DataFrame:
+    """Graded hits of one language's rules; taint is computed only if a rule asks for it and
+    none was handed over."""
     rules = rules_for(lang) if rules is None else rules
     lines = lines.filter(F.col("lang") == lang)
     if any(r.label for r in rules):
-        t = file_taint(lines, [lang])
+        t = taint or file_taint(lines, [lang])
         return det.detect(lines, rules, t.marks, t.sanitized)
     return det.detect(lines, rules)
 

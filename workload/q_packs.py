@@ -14,11 +14,23 @@ from .q_sources import lines
 from .registry import query
 
 
+_TAINT: dict[tuple, scan.Taint] = {}
+
+
+def language_taint(spark, d, lang) -> scan.Taint:
+    """Taint of a language's files, written once per session and read by all its packs."""
+    key = (spark.sparkContext.applicationId, d, lang)
+    if key not in _TAINT:
+        _TAINT[key] = scan.write_taint(scan.file_taint(lines(spark, d, (lang,)), [lang]))
+    return _TAINT[key]
+
+
 def _register(lang: str, category: str, rules) -> None:
     labelled = any(r.label for r in rules)
 
     def run(spark, d):
-        return fnd.dedup_findings(fnd.suppress_inline(scan.scan_language(lines(spark, d, (lang,)), lang, rules)))
+        taint = language_taint(spark, d, lang) if labelled else None
+        return fnd.dedup_findings(fnd.suppress_inline(scan.scan_language(lines(spark, d, (lang,)), lang, rules, taint)))
 
     query(f"pack_{lang}_{category.lower()}", sf.pack_query(lang, rules, labelled))(run)
 
