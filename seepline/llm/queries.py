@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, store, wavelet
+from . import chat, mixing, packing, store, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,3 +34,34 @@ def op8_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     wavelet.write_shards(table(spark, sf_dir, "documents"), folder)
     read = wavelet.read_documents(spark, folder)
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit(r"\### Assistant: </turn> ok")
+    added = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text")
+    )
+    out = chat.conversations(chat.turns(given.unionByName(added))).withColumn("whole", chat.formatted(F.col("segments")))
+    loss = chat.under_loss(F.col("segments"))
+    told = F.array_join(F.transform(chat.read_back(F.col("whole")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        "conv_id",
+        F.size(chat.read_back(F.col("whole"))).cast("long").alias("n_turns"),
+        F.sha2(told, 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("whole").cast("long").alias("formatted_chars"),
+    )
+
+
+ORACLES["op3_chat"] = chat.SQL
+
+
+@query
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLES["op6_mixing"] = mixing.SQL
