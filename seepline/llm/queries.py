@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attribution, chat, mixing, packing, pii, store, topk, toxicity, wavelet
+from . import attribution, chat, mixing, packing, parsing, pii, store, topk, toxicity, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,3 +102,8 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     counts = [number(k) for k in pii.BASE]
     return out.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("all").alias("spans"))
+
+
+@query
+def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.edited_neighbours(table(spark, sf_dir, "documents"))
