@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attribution, chat, mixing, packing, parsing, pii, store, topk, toxicity, wavelet
+from . import attribution, chat, jaccard, mixing, packing, parsing, pii, store, topk, toxicity, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -107,3 +107,9 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsing.edited_neighbours(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.near_duplicates(table(spark, sf_dir, "documents"), size=3, num=90, den=100)
+    return found.select("doc_id", "n_shingles", "component_id")

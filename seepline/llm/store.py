@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -49,3 +50,9 @@ class Written:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """The same rows, read from a written table."""
     return Written(df, name).df
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of results that nothing refers to any more, which waits for the driver's collector."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
