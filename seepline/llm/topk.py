@@ -8,7 +8,8 @@ Blocks of queries meet blocks of candidates; nothing is held whole by a task or
 Vectors that are null, hold null, NaN or infinite components (also once scaled), or have a null id take no
 part. Vectors of unequal length are compared over the places that both have. A query's candidates are the
 rows with another id; rows with equal ids are all candidates of other queries, and repeated queries are asked
-once each. Ties go to smaller ids. Empty tables give no rows.
+once each. Ties go to smaller ids. Scores are exact;
+those beyond 64 bits are returned as the last number of that range. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -97,7 +98,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
                 won = best(np.ma.masked_array(scores[:, j], ids == q), k)
                 out["query_id"].append(np.full(len(won), q))
                 out["vec_id"].append(ids[won])
-                out["score"].append(scores[won, j])
+                out["score"].append(np.array([min(max(s, -(2**63)), 2**63 - 1) for s in scores[won, j].tolist()], np.int64))
         none = np.zeros(0, np.int64)
         return pa.table({n: pa.array(np.concatenate([none, *x]), pa.int64()) for n, x in out.items()})
 

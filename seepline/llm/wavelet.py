@@ -120,7 +120,7 @@ class Shard:
         return lo, hi
 
     def count(self, token: int, lo: int = 0, hi: int | None = None) -> int:
-        a, b = self._range(token, lo, self.n if hi is None else hi)
+        a, b = self._range(token, min(lo, self.n), self.n if hi is None else min(hi, self.n))
         return b - a
 
     def select(self, token: int, k: int) -> int | None:

@@ -1,0 +1,271 @@
+"""Personal data, toxicity, near duplicates and fingerprints against brute force."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from odd_documents import CLASHES, odd_rows, prose
+from pyspark.sql import functions as F
+
+from seepline.llm import components, jaccard, parsing, pii, toxicity
+from seepline.llm.queries import QUERIES
+
+SF = "/root/testdata/sf0.001"
+
+
+def luhn(digits):
+    total = 0
+    for k, c in enumerate(reversed(digits)):
+        n = int(c) * (2 if k % 2 else 1)
+        total += n - 9 if n > 9 else n
+    return total % 10 == 0
+
+
+def base_spans(text):
+    """The contract's patterns as they stand."""
+    out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        digits = re.sub(r"[ -]", "", m[0])
+        if 16 <= len(digits) <= 19 and luhn(digits):
+            out.append(("card", m.start(), m.end()))
+    return out + [("phone", m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 8 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("aZ1590.-@+() %_\nÀ٣")), max_size=60))
+def test_strict_spans(text):
+    assert pii.strict(text) == base_spans(text)
+
+
+def test_long_runs_take_little_time():
+    import time
+
+    for text in ("a" * 300_000, "1" * 300_000, "a@" * 100_000, "+1" * 100_000, "@" * 200_000, "(at)" * 50_000):
+        start = time.time()
+        pii.candidates(text)
+        assert time.time() - start < 20
+
+
+def test_query_2_keeps_all_base_spans(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = QUERIES["op2_pii"](spark, SF).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        want = base_spans(docs[r.doc_id] or "")
+        told = [f"{k}:{a}:{b}" for k, a, b in want]
+        assert r.base_sha256 == hashlib.sha256(",".join(told).encode()).hexdigest()
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(s[0] == k for s in want) for k in pii.BASE)
+        assert set(told) <= set(r.spans.split(",")) | {""} - {"x"}
+
+
+def test_odd_documents_and_redaction(odd, empty):
+    found = pii.spans(odd)
+    rows = found.collect()
+    assert len(rows) == len(odd_rows())
+    model = pii.learn(found)
+    done = pii.redact(odd, model)
+    assert done.columns == odd.columns
+    texts = {r.doc_id: r.text for r in done.where("text like '%mail%'").collect()}
+    assert texts[7] == "mail <email>, call <phone>"
+    assert sorted(str(r.text) for r in done.where("doc_id <> 7").collect()) == sorted(str(t) for i, t, *_ in odd_rows() if i not in (7, None))
+    assert pii.spans(empty).count() == 0 and pii.learn(pii.spans(empty)) == pii.Model()
+
+
+def test_weak_supervision_tells_labelers_apart():
+    said = ["my phone is {}", "call me: {}", "invoice {}x", "version {}9"]
+    counts = {}
+    for k in range(400):
+        number = f"{300 + k}-555-{1000 + k}"
+        text = said[k % 2].format(number) if k % 4 else f"order no A{number}7"
+        for p in pii.candidates(text)[2]:
+            counts[p] = counts.get(p, 0) + 1
+        for p in pii.candidates(f"tel +1 (743) 555-{1000 + k}")[2]:
+            counts[p] = counts.get(p, 0) + 1
+    model = pii.train(counts)
+    assert len(model.reliability) == len(pii.KINDS) * 5 * 2 * 3
+    good = pii.candidates("call 301-555-1234 now")[1][0][3]
+    assert good in model.accepted
+    assert pii.train({}) == pii.Model()
+
+
+def test_toxic_documents_are_told(spark):
+    r = random.Random(3)
+    bad = ["vilespeak", "slurword", "hatecry"]
+    rows = []
+    for k in range(500):
+        words = prose(k, r.randint(20, 120)).split()
+        toxic = k % 5 == 0
+        for _ in range(3 if toxic else 0):
+            words.insert(r.randrange(len(words)), r.choice(bad))
+        rows.append((k, " ".join(words), int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.learn(docs.drop("toxic"), docs.drop("text"), ~toxicity.held_out(F.col("doc_id")))
+    scored = toxicity.score(docs, model, "s").select("toxic", "s", toxicity.held_out(F.col("doc_id")).alias("held")).where("held").collect()
+    assert np.mean([(x.s >= 0.5) == (x.toxic == 1) for x in scored]) > 0.97 and len(scored) > 50
+    assert toxicity.without_toxic(docs, model).columns == docs.columns
+
+
+def test_held_out_accuracy_on_the_given_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = QUERIES["op5_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
+    s, y = np.array([r.score for r in rows]), np.array([r.toxic for r in rows])
+    order = np.argsort(np.argsort(s)) + 1
+    auc = (order[y == 1].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (len(y) - y.sum()))
+    assert auc > 0.93 and np.mean([r.predicted == r.toxic for r in rows]) > 0.95
+
+
+def test_toxicity_of_odd_documents(spark, odd, empty):
+    labels = spark.createDataFrame([(1, 0), (7, 1), (8, 0), (9, None), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.learn(odd, labels)
+    name = "toxicity_score"
+    rows = toxicity.score(odd, model, name).collect()
+    assert len(rows) == len(odd_rows()) and all(0 <= r[name] <= 1 for r in rows)
+    assert len({r[name] for r in rows if not (r.text or "").strip()}) == 1
+    kept = toxicity.without_toxic(odd, model)
+    assert kept.columns == odd.columns
+    assert toxicity.score(empty, model, name).count() == 0
+    none = toxicity.learn(odd, labels.where("false"))
+    assert {r[name] for r in toxicity.score(odd, none, name).collect()} == {0.0}
+
+
+def brute_components(rows, size, num):
+    """doc index -> (shingles, component's smallest id), by all pairs."""
+    low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    sets = []
+    for _, text in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(low))
+        sets.append(frozenset(tuple(w[k : k + size]) for k in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)] if w else []))
+    part = list(range(len(rows)))
+    for x in range(len(rows)):
+        for y in range(x):
+            if part[x] != part[y] and sets[x] and sets[y] and 100 * len(sets[x] & sets[y]) >= num * len(sets[x] | sets[y]):
+                part = [part[x] if p == part[y] else p for p in part]
+    out = []
+    for k, (i, _) in enumerate(rows):
+        ids = [rows[j][0] for j in range(len(rows)) if part[j] == part[k] and rows[j][0] is not None]
+        out.append((str(i), len(sets[k]), str(min(ids) if ids and sets[k] else i)))
+    return sorted(out)
+
+
+def families(seed):
+    """Families of near copies around the threshold, a passage in many documents, and short texts."""
+    r, rows, at = random.Random(seed), [], 0
+    passage = prose(77, 60).split()
+    for family in range(12):
+        base = prose(1000 * seed + family, r.choice((4, 30, 90, 200))).split()
+        for _ in range(r.choice((1, 2, 5, 25))):
+            words = list(base)
+            for _ in range(r.randint(0, max(1, len(base) // 25))):
+                words[r.randrange(len(words))] = prose(r.randrange(10**6), 1)
+            rows.append((at, " ".join(words)))
+            at += 1
+    for k in range(60):
+        words = prose(10**7 + 1000 * seed + k, r.choice((10, 80))).split()
+        rows.append((at, " ".join([*words, *passage])))
+        at += 1
+    rows += [(at, "One"), (at + 1, "one"), (at + 2, "one two"), (at + 3, "a b c"), (at + 4, "A b  c"), (at + 5, " "), (at + 6, ""), (at + 7, None)]
+    r.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("size,num,mass,heavy", [(3, 90, 1 << 18, 32), (5, 80, 3000, 4), (3, 90, 1500, 2), (1, 80, 2000, 3)])
+def test_near_duplicates_against_all_pairs(spark, monkeypatch, size, num, mass, heavy):
+    monkeypatch.setattr(jaccard, "MASS", mass)
+    monkeypatch.setattr(jaccard, "HEAVY", heavy)
+    rows = families(size + heavy)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.near_duplicates(df, size, num, 100).collect())
+    assert got == brute_components(rows, size, num)
+
+
+def test_near_duplicates_of_odd_documents(odd, empty):
+    rows = [(i, t) for i, t, *_ in odd_rows()]
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.near_duplicates(odd, 3, 90, 100).collect())
+    assert got == brute_components(rows, 3, 90)
+    assert jaccard.near_duplicates(empty).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(1, 3000), st.sets(st.integers(0, 400), max_size=200))
+def test_asked_tokens_are_in_reach(n, heavy):
+    places = sorted(p for p in heavy if p < n)
+    asked, hot = jaccard.choose(n, places, 80, 100)
+    end = jaccard.prefix_base(n, 80, 100) + asked - 1
+    assert 1 <= asked and end <= n
+    if not hot:
+        assert asked == 1 + sum(p < end for p in places) and asked <= jaccard.most_matches(-(-80 * n // 100))
+
+
+def test_components(spark):
+    r = random.Random(1)
+    links = [(k, k + 1) for k in range(0, 200) if k % 50] + [(1000, 1000 + k) for k in range(100)] + [(r.randrange(300, 600), r.randrange(300, 600)) for _ in range(150)]
+    part = {x: x for e in links for x in e}
+    for _ in range(400):
+        for a, b in links:
+            part[a] = part[b] = min(part[a], part[b])
+    got = {x.node: x.root for x in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    alone = {a for a, b in links if a == b} - {x for a, b in links if a != b for x in (a, b)}
+    assert got == {k: v for k, v in part.items() if k not in alone}
+
+
+def test_equal_substrings_have_equal_phrases():
+    middle = prose(5, 400)
+    names = []
+    for before in ("", "x", prose(6, 37), prose(7, 222)):
+        data = np.frombuffer((before + middle).encode("utf-32-le"), "<u4").astype(np.uint64)
+        level, first = parsing.parse(data, np.array([0]))
+        level, first = parsing.parse(level, first)
+        names.append(level)
+    for other in names[1:]:
+        assert len(np.intersect1d(names[0], other)) > 0.93 * len(np.unique(names[0]))
+
+
+def test_fingerprints_are_made_text_by_text():
+    texts = ["", "a", "aaaaaaa", "ab" * 500, prose(1, 300), "日本語" * 40, "\x00\x00b", prose(1, 300)]
+    alone = [parsing.fingerprints([t])[0] for t in texts]
+    for x, y in zip(alone, parsing.fingerprints(texts), strict=True):
+        assert np.array_equal(x, y)
+    assert parsing.likeness(alone[4], alone[7]) == 1.0 and parsing.likeness(alone[0], alone[0]) == 1.0 and parsing.likeness(alone[0], alone[1]) == 0.0
+
+
+def edited(rows):
+    """doc id, code points and hash of the edited text, with its two texts, from the contract's words."""
+    have = [(i, t or "") for i, t in rows if i is not None]
+    have.sort(key=lambda x: (-x[0], int.from_bytes(hashlib.blake2b(x[1].encode(), digest_size=8).digest(), "little", signed=True)))
+    out = []
+    for k, (i, t) in enumerate(have):
+        other, h = have[(k + 1) % len(have)][1], len(t) // 2
+        out.append((i, t, t[: len(t) - h] + other[:h], other))
+    return out + [(None, t or "", (t or "")[: len(t or "") - len(t or "") // 2], None) for i, t in rows if i is None]
+
+
+@pytest.mark.parametrize("per_bin", [1, 4, 500])
+def test_edited_neighbours(spark, odd, monkeypatch, per_bin):
+    monkeypatch.setattr(parsing, "PER_BIN", per_bin)
+    monkeypatch.setattr(parsing, "CHARACTERS", 2000 if per_bin == 4 else 1 << 20)
+    got = sorted(((str(r.doc_id), r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in parsing.edited_neighbours(odd).collect()), key=str)
+    want = []
+    for i, t, e, other in edited([(r[0], r[1]) for r in odd_rows()]):
+        f, g = parsing.fingerprints([t])[0], parsing.fingerprints([e])[0]
+        near = None if other is None else parsing.likeness(f, parsing.fingerprints([other])[0])
+        want.append((str(i), len(t), hashlib.sha256(e.encode()).hexdigest(), parsing.shown(f), parsing.shown(g), parsing.likeness(f, g), near))
+    assert got == sorted(want, key=str)
+
+
+def test_fingerprints_tell_edits_from_strangers(spark, empty):
+    rows = QUERIES["op9_fingerprint"](spark, SF).collect()
+    long = [r for r in rows if r.n_chars > 300]
+    assert np.mean([r.near_edited for r in long]) > 0.4 and np.mean([r.near_next for r in long]) < 0.1
+    assert parsing.edited_neighbours(empty).count() == 0
+    assert parsing.fingerprint(empty).count() == 0
+    one = spark.createDataFrame([(5, "abcdef")], "doc_id long, text string")
+    assert parsing.edited_neighbours(one).first().edited_sha256 == hashlib.sha256(b"abcabc").hexdigest()
+
+
+def test_clashing_columns_are_present(odd):
+    assert set(CLASHES) <= set(odd.columns)
