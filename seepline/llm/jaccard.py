@@ -1,10 +1,12 @@
 """Near-duplicate documents: an exact Jaccard join of word shingles by adaptive multi-match prefixes.
 
-Documents with equal shingle sets form a class. A class's tokens, hashes of its shingles, stand in one order for all,
-that of the hash. Two sets whose likeness reaches the threshold share at least m tokens of their prefixes if both
-prefixes hold m - 1 tokens more than the least that must share one. A token is charged by its posting list: for
-each token of the prefix that more than HEAVY classes hold, the prefix is lengthened by one and one more shared
-token is asked for. As no pair shares more heavy tokens than were charged, one of the shared tokens is light, so
+A document's tokens, hashes of its shingles, stand in one order for all, that of the hash. Two sets whose likeness
+reaches the threshold share at least m tokens of their prefixes if both prefixes hold m - 1 tokens more than the least
+that must share one. A token is charged by its posting list: the prefix is lengthened by one, and one more shared token
+is asked for. Charged first is each token that any other document holds: where a prefix then asks for more than it
+has of these, its document has no partner and is done, which is the case of almost all that have none. Of the others,
+those with equal sets form a class, postings are counted among classes, and charged is each token that more than
+HEAVY of them hold. As no pair shares more heavy tokens than were charged, one of the shared tokens is light, so
 postings of light tokens alone find all candidates. Classes with too few light tokens (members of large families
 of near copies) are candidates of each other by their heavy tokens too.
 
@@ -76,9 +78,18 @@ def prefix_base(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
-def most_matches(n: int) -> int:
+def most_matches(n: int, num: int, den: int) -> int:
     """Up to so many shared tokens a set of n may ask for."""
-    return 5 + n // 32
+    return 5 + prefix_base(n, num, den) // 2
+
+
+def partnerless(n: int, held: list[int], num: int, den: int) -> bool:
+    """Whether some prefix asks for more shared tokens than it has; held: places of tokens that another set holds (ascending)."""
+    base = prefix_base(n, num, den)
+    for k, place in enumerate([*held, n + base + len(held)]):
+        if place >= base + k:  # the prefix that asks for k + 1 has k
+            return k < most_matches(n, num, den) and base + k <= n
+    raise AssertionError
 
 
 def choose(n: int, heavy: list[int], num: int, den: int) -> tuple[int, bool]:
@@ -86,11 +97,11 @@ def choose(n: int, heavy: list[int], num: int, den: int) -> tuple[int, bool]:
 
     What a class asks for by light tokens alone stays within what its smallest partner may ask for, so it's never more than a hot partner asks.
     """
-    base, most = prefix_base(n, num, den), most_matches(-(-num * n // den))
+    base, most = prefix_base(n, num, den), most_matches(-(-num * n // den), num, den)
     for k, place in enumerate([*heavy, n + base + len(heavy)]):
         if place >= base + k:  # with k heavy ones the prefix ends before this one
             asked = k + 1
-            return (asked, False) if asked <= most and base + asked - 1 <= n else (min(most_matches(n), n - base + 1), True)
+            return (asked, False) if asked <= most and base + asked - 1 <= n else (min(most_matches(n, num, den), n - base + 1), True)
     raise AssertionError
 
 
@@ -102,7 +113,7 @@ def _scan(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for a, b in slices(texts):
                 sets = shingle_sets(texts[a:b], size)
-                wide = [s[: prefix_base(len(s), num, den) + most_matches(len(s)) - 1] >> np.uint64(16) for s in sets]
+                wide = [s[: prefix_base(len(s), num, den) + most_matches(len(s), num, den) - 1] >> np.uint64(16) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(a, b - a),
@@ -117,22 +128,44 @@ def _scan(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, key long, n long, class binary, wide array<long>")
 
 
-def _asked(postings: DataFrame, num: int, den: int) -> DataFrame:
-    """cid, n, asked, hot, rare and the tokens (token, heavy) that index a class. postings: cid, n, at (array of place, token, df)."""
+def _counted(tokens: DataFrame, row: str) -> DataFrame:
+    """tokens: row, n, place, token. Each row beside those of its tokens that another row holds too: row, n, at (array of place, token, df)."""
+    shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    return tokens.join(shared, "token").groupBy(row, "n").agg(F.collect_list(F.struct("place", "token", "df")).alias("at"))
+
+
+def _partnered(counted: DataFrame, num: int, den: int) -> DataFrame:
+    """The rows that may have partners: rid, n, at (array of place, token)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("at")
+            places, bounds = at.flatten().field("place").to_numpy(), at.offsets.to_numpy() - at.offsets[0].as_py()
+            kept = [not partnerless(n, sorted(places[a:b].tolist()), num, den) for n, a, b in zip(batch.column("n").to_pylist(), bounds[:-1], bounds[1:], strict=True)]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return counted.mapInArrow(run, "rid long, n long, at array<struct<place:int,token:long,df:long>>")
+
+
+def _asked(counted: DataFrame, num: int, den: int) -> DataFrame:
+    """cid, n, asked, rare (places of the longest prefix that no other class holds) and the tokens that index a class. counted: cid, n, at."""
+    schema = pa.schema([("cid", pa.int64()), ("n", pa.int64()), ("asked", pa.int64()), ("rare", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for cid, n, at in zip(*(batch.column(c).to_pylist() for c in ("cid", "n", "at")), strict=True):
                 at.sort(key=lambda x: x["place"])
+                if partnerless(n, [x["place"] for x in at], num, den):
+                    continue
                 asked, hot = choose(n, [x["place"] for x in at if x["df"] > HEAVY], num, den)
                 base = prefix_base(n, num, den)
                 own = [x for x in at if x["place"] < base + asked - 1 and (hot or x["df"] <= HEAVY)]
-                rare = base + most_matches(n) - 1 - len(at)
+                rare = base + most_matches(n, num, den) - 1 - len(at)
                 rows.append({"cid": cid, "n": n, "asked": asked, "rare": rare, "tokens": [x["token"] for x in own]})
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("cid", pa.int64()), ("n", pa.int64()), ("asked", pa.int64()), ("rare", pa.int64()), ("tokens", pa.list_(pa.int64()))]))
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return postings.mapInArrow(run, "cid long, n long, asked long, rare long, tokens array<long>")
+    return counted.mapInArrow(run, "cid long, n long, asked long, rare long, tokens array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -242,17 +275,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     spark = docs.sparkSession
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     given = given.withColumn("key", F.xxhash64("text"))
-    scanned = Written(_scan(given, size, num, den), "shingles")
-    least = F.min(F.struct("doc_id", "key")).alias("least")
-    own = scanned.df.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("low"), least, F.first("n").alias("n"), F.first("wide").alias("wide"))
-    classes = Written(own.withColumn("cid", F.monotonically_increasing_id()), "classes")
-
-    tokens = classes.df.select("cid", "n", F.posexplode("wide").alias("place", "token"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    at = F.collect_list(F.struct("place", "token", "df")).alias("at")
-    indexed = Written(_asked(tokens.join(shared, "token").groupBy("cid", "n").agg(at), num, den), "prefixes")
+    scanned = Written(_scan(given, size, num, den).withColumn("rid", F.monotonically_increasing_id()), "shingles")
+    tokens = scanned.df.select("rid", "n", F.posexplode("wide").alias("place", "token"))
+    partnered = Written(_partnered(_counted(tokens, "rid"), num, den), "partnered")
     release(spark)
 
+    rows = partnered.df.join(scanned.df.select("rid", "class", "doc_id", "key"), "rid")
+    own = rows.groupBy("class").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "key")).alias("least"), F.first("n").alias("n"), F.first("at").alias("at"))
+    classes = Written(own, "classes")
+    held = classes.df.select("cid", "n", F.explode("at").alias("x")).select("cid", "n", "x.place", "x.token")
+    indexed = Written(_asked(_counted(held, "cid"), num, den), "prefixes")
+
     posted = indexed.df.select("cid", "n", "rare", F.explode("tokens").alias("token"))
     hubs = posted.groupBy("token").agg(F.min(F.struct("rare", "cid")).alias("hub"), F.count("*").alias("members")).where("members > 1")
     family = posted.join(hubs, "token").select(F.col("hub.cid").alias("family"), "cid", "n").distinct()
@@ -277,16 +310,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     found = components(links)
     release(spark)
 
-    low = classes.df.select("cid", "low")
-    rooted = low.join(found, low["cid"] == found["node"], "left").select("cid", "low", F.coalesce("root", "cid").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    known = classes.df.select("cid", "class").join(rooted.select("cid", "root"), "cid").join(named, "root")
-    return scanned.df.join(known.select("class", "root", "component_id"), "class", "left").select(
+    low = classes.df.select("cid", "class", "low")
+    rooted = low.join(found, low["cid"] == found["node"], "left").select("class", "low", F.coalesce("root", "cid").alias("root"))
+    known = rooted.join(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("class", "root", "component_id")
+    narrow = scanned.df.select("doc_id", "key", "n", "class", "rid").join(known, "class", "left")
+    # a document without partners is alone, and so is one without shingles
+    return narrow.select(
         "doc_id",
         "key",
         F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("root")).alias("component"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(F.col("n") > 0, F.coalesce("root", "rid")).alias("component"),
+        F.when(F.col("root").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
 
 

@@ -198,7 +198,7 @@ def test_asked_tokens_are_in_reach(n, heavy):
     end = jaccard.prefix_base(n, 80, 100) + asked - 1
     assert 1 <= asked and end <= n
     if not hot:
-        assert asked == 1 + sum(p < end for p in places) and asked <= jaccard.most_matches(-(-80 * n // 100))
+        assert asked == 1 + sum(p < end for p in places) and asked <= jaccard.most_matches(-(-80 * n // 100), 80, 100)
 
 
 def test_components(spark):
