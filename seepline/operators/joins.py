@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import frames, text as tx
 from ..plans.durable import cut
+from ..rules.names import DANGEROUS, FLAGS, SHELLS
 from . import facts
 
 VAR = ["file_id", "scope_id", "var"]
@@ -27,31 +28,47 @@ def nearest_assignment(points: DataFrame, assigns: DataFrame) -> DataFrame:
     return placed.filter("_row").select(*VAR, "line_no", *extra, "_found.def_line", "_found.rhs")
 
 
-def flow_sensitive(points: DataFrame, assigns: DataFrame, depth: int = 4) -> DataFrame:
-    """Points whose nearest assignments lead to a source within ``depth`` steps.
+def flow_sensitive(points: DataFrame, assigns: DataFrame, depth: int | None = None) -> DataFrame:
+    """Points whose nearest assignments lead to a source, over any number of steps (or at most ``depth``).
 
-    A killing or literal right-hand side ends the walk; otherwise it goes on with the
-    names of that right-hand side, looked up at its own line. Points are
-    (file_id, lang, scope_id, var, line_no); result rows are distinct points.
+    A killing or literal right-hand side ends a walk; otherwise it goes on with the names of
+    that right-hand side, looked up at its own line, which lies above: every walk ends. What
+    a step has looked up already isn't looked up again. Points are (file_id, lang,
+    scope_id, var, line_no); result rows are distinct points.
     """
-    walk = points.select("file_id", "lang", "scope_id", "var", "line_no", F.col("var").alias("at_var"), F.col("line_no").alias("at_line"))
-    found = None
-    for step in range(depth):
-        placed = nearest_assignment(walk, assigns).filter("rhs is not null")
+    look = ["file_id", "scope_id", "var", "line_no"]
+    start = points.select("file_id", "lang", "scope_id", "var", "line_no").distinct()
+    edges, found, frontier, seen, step = [], None, cut(start), None, 0
+    while depth is None or step < depth:
+        step += 1
         lang, rhs = F.col("lang"), F.col("rhs")
         source = tx.by_language(lang, lambda l: tx.matches(rhs, l.source) & ~tx.matches(rhs, l.safe_source))
         killed = tx.by_language(lang, lambda l: tx.matches(rhs, l.killer))
-        judged = cut(placed.withColumn("source", source).filter(~killed))
-        hits = judged.filter("source").select("file_id", "scope_id", F.col("at_var").alias("var"), F.col("at_line").alias("line_no"))
+        judged = cut(nearest_assignment(frontier, assigns).filter("rhs is not null").withColumn("source", source).filter(~killed))
+        hits = judged.filter("source").select(*look)
         found = hits if found is None else found.unionByName(hits)
-        if step == depth - 1:
-            break
-        walk = (
-            facts.explode_tokens(judged.filter("not source").drop("var"), "rhs", None, "var")
-            .select("file_id", "lang", "scope_id", "var", F.col("def_line").alias("line_no"), "at_var", "at_line")
-            .distinct()
+        used = facts.explode_tokens(
+            judged.filter("not source").withColumnRenamed("var", "of_var").withColumnRenamed("line_no", "of_line"), "rhs", None, "var"
         )
-    return found.distinct()
+        steps = cut(used.select("file_id", "lang", "scope_id", "var", F.col("def_line").alias("line_no"), "of_var", "of_line").distinct())
+        edges.append(steps)
+        seen = frontier.select(*look) if seen is None else seen.unionByName(frontier.select(*look))
+        frontier = cut(steps.select("file_id", "lang", "scope_id", "var", "line_no").distinct().join(seen, look, "left_anti"))
+        if frontier.isEmpty():
+            break
+    # back from the sources until no step leads to a new one
+    every = edges[0]
+    for steps in edges[1:]:
+        every = every.unionByName(steps)
+    found = cut(found.distinct())
+    fresh = found
+    while not fresh.isEmpty():
+        above = fresh.withColumnsRenamed({"file_id": "f", "scope_id": "s", "var": "v", "line_no": "n"})
+        on = (F.col("file_id") == F.col("f")) & (F.col("scope_id") == F.col("s")) & (F.col("var") == F.col("v")) & (F.col("line_no") == F.col("n"))
+        led = every.join(above, on, "left_semi").select("file_id", "scope_id", F.col("of_var").alias("var"), F.col("of_line").alias("line_no"))
+        fresh = cut(led.distinct().join(found, look, "left_anti"))
+        found = found.unionByName(fresh)
+    return found.join(start.select(*look), look, "left_semi")
 
 
 # Factories that need hardening and the calls that harden them.
@@ -81,20 +98,8 @@ def safe_literals(assigns: DataFrame) -> DataFrame:
     )
 
 
-# Modules and functions whose dynamic use is a sink.
-DANGEROUS = {
-    "os": "system popen popen2 popen3 popen4 spawn spawnl spawnle spawnlp spawnlpe spawnv spawnve spawnvp spawnvpe exec execl execle execlp execlpe execv execve execvp execvpe",
-    "subprocess": "Popen call run check_output check_call getoutput getstatusoutput",
-    "builtins": "eval exec compile __import__",
-    "pickle": "loads load",
-    "marshal": "loads load",
-    "yaml": "load unsafe_load full_load",
-    "": "eval exec system passthru shell_exec popen proc_open assert create_function unserialize",
-}
-
-
 def dangerous_functions(spark: SparkSession) -> DataFrame:
-    rows = [(m, f) for m, names in DANGEROUS.items() for f in names.split()]
+    rows = [(m, f) for m, names in DANGEROUS.items() for f in names]
     return spark.createDataFrame(rows, "module string, func string")
 
 
@@ -253,9 +258,6 @@ def allow_listed(lines: DataFrame) -> DataFrame:
 
 
 ARGV = r"""[\[({]\s*((?:["'][^"']*["']|[$\w.]+)(?:\s*,\s*(?:["'][^"']*["']|[$\w.]+))+)\s*[\])}]"""
-# Shells and their command flags.
-SHELLS = ("sh", "bash", "zsh", "ksh", "csh", "tcsh", "env", "cmd.exe", "cmd", "powershell.exe", "powershell", "pwsh")
-FLAGS = ("-c", "/c", "/k", "-Command", "-EncodedCommand")
 
 
 def shell_argv(lines: DataFrame) -> DataFrame:
@@ -265,7 +267,7 @@ def shell_argv(lines: DataFrame) -> DataFrame:
         facts.with_scope(lines).withColumn("argv", element).filter(F.size("argv") >= 2)
         .withColumn("shell", F.substring_index(F.get("argv", F.lit(0)), "/", -1))
         .filter(F.col("shell").isin(*SHELLS) & F.get("argv", F.lit(1)).isin(*FLAGS))
-        .select("file_id", "scope_id", "line_no", "shell", F.slice("argv", 3, 1000000).alias("command"))
+        .select("file_id", "scope_id", "line_no", "shell", F.slice("argv", F.lit(3), F.size("argv")).alias("command"))
     )
 
 

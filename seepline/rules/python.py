@@ -1,26 +1,27 @@
 """Python rules."""
 
+from .names import FLAGS, SHELLS, any_of, names_of
 from .model import AUTH, CMD, CODE, DESER, LDAP, NOSQL, SQL, SSTI, XPATH, XXE, Rule as R, pack
 
-# Shells, their flags and call names that identify a sink.
-SHELL = r"""\[\s*["'](?:[\w/]*/)?(?:sh|bash|zsh|ksh|csh|tcsh|env|cmd\.exe|cmd|powershell\.exe|powershell|pwsh)["']\s*,\s*["'](?:-c|/c|/k|-Command|-EncodedCommand)["']"""
-PROCESS_CALLS = r"(?:call|run|Popen|check_output|check_call|getoutput|getstatusoutput)"
-OS_CALLS = r"(?:popen[234]?|spawn(?:l|le|lp|lpe|v|ve|vp|vpe)|exec(?:l|le|lp|lpe|v|ve|vp|vpe))"
-BUILTINS = r"(?:eval|exec|compile|__import__)"
-SINK_WORDS = r"(?i)subprocess|Popen|system|popen|exec|eval|shell|cmd|command|run_command|execute|Process|spawn|/bin/sh|cmd\.exe"
-NOT_SQL = r"(?i)jsonify\s*\(|return\s+.*message|raise\s+|logging\.|logger\.|print\s*\(|\.(?:error|warning|info|debug)\s*\(|Exception\s*\(|Error\s*\(|[\"']message[\"']|Unable to|Failed to|Could not|Cannot |Error:"
+SHELL = r"""\[\s*["'](?:[\w/]*/)?""" + any_of(SHELLS) + r"""["']\s*,\s*["']""" + any_of(FLAGS) + r"""["']"""
+PROCESS_CALLS = "(?:" + names_of("subprocess") + ")"
+#: A line that names a way to run data.
+RUNS = r"\b(?:subprocess|" + names_of("os", "subprocess", "builtins") + r")\b"
+#: A statement that reports instead of querying.
+REPORTS = r"^\s*(?:raise|assert|print|log\w*\.\w+)\b"
 PLACEHOLDERS = r":[A-Za-z_]\w*|[^%\w]\?|%\(\w+\)s|%s"
-ORM_CALL = r"session\.query\s*\(|db\.query\s*\(|\.query\s*\([A-Z]\w*|\.query\s*\(\s*\w+\s*,\s*\w+|\.query\s*\([^)]*\)\s*\.|\.query\s*\(\s*[\"']"
-ORM_CONTEXT = r"from\s+sqlalchemy|import.*Session|import.*declarative|session\s*=|Session\s*\(\)|\.filter\s*\(|\.join\s*\(|\.all\s*\(\)|\.first\s*\(\)|\.scalar\s*\("
+#: A query over a mapped class, and the import that tells of mapped classes.
+MAPPED_QUERY = r"\.query\s*\(\s*[A-Z]\w*\s*[,.)]"
+MAPPER = r"\bsqlalchemy\b"
 ALLOW_LIST = r"\bif\s+\w+\s+(?:not\s+)?in\s+(?:\[|\{|\(|\w+)"
 
 RULES = pack(
     "python",
     # Dynamic access to dangerous functions.
-    R("py-getattr-process", CMD, r"\bgetattr\s*\(\s*(?:subprocess|os)\s*,\s*[\"'](?:system|" + PROCESS_CALLS[3:-1] + "|" + OS_CALLS[3:-1] + r")[\"']",
+    R("py-getattr-process", CMD, r"\bgetattr\s*\(\s*(?:subprocess|os)\s*,\s*[\"'](?:" + names_of("os", "subprocess") + r")[\"']",
       "Dangerous function reached through getattr", "HIGH/HIGH",
       hit='f{a} = getattr(os, "system")', miss='f{a} = getattr(os, "getcwd")'),
-    R("py-getattr-builtin", CODE, r"\bgetattr\s*\(\s*(?:builtins|pickle|marshal|yaml)\s*,\s*[\"'](?:" + BUILTINS[3:-1] + r"|loads?|unsafe_load|full_load)[\"']",
+    R("py-getattr-builtin", CODE, r"\bgetattr\s*\(\s*(?:builtins|pickle|marshal|yaml)\s*,\s*[\"'](?:" + names_of("builtins", "pickle", "marshal", "yaml") + r")[\"']",
       "Dangerous function reached through getattr", "HIGH/HIGH",
       hit='f{a} = getattr(pickle, "loads")', miss='f{a} = getattr(pickle, "dumps")'),
     R("py-getattr-process-name", CMD, r"\bgetattr\s*\(\s*(?:subprocess|os)\s*,\s*[A-Za-z_]\w*", "Attribute name of a process module is dynamic",
@@ -58,7 +59,7 @@ RULES = pack(
     R("py-lambda-sql", SQL, r"(?i)lambda.*f[\"'].*(?:SELECT|INSERT|UPDATE|DELETE|FROM|WHERE)", "Query interpolated in a lambda", "HIGH/HIGH",
       hit='mk{a} = lambda n: f"SELECT * FROM {n}"', miss="mk{a} = lambda n: n + 1"),
     R("py-fstring-sql", SQL, r"(?i)f[\"'].*(?:SELECT\s+.*\s+FROM\s|INSERT\s+INTO\s|UPDATE\s+\w+\s+SET\s|DELETE\s+FROM\s|(?:SELECT|INSERT|UPDATE|DELETE)\s.*WHERE\s).*\{", "Query interpolated in an f-string",
-      "HIGH/HIGH", unless=NOT_SQL, hit='sql{a} = f"SELECT * FROM t WHERE id = {v{a}}"', miss='raise ValueError(f"Unable to UPDATE t SET {v{a}}")'),
+      "HIGH/HIGH", unless=REPORTS, hit='sql{a} = f"SELECT * FROM t WHERE id = {v{a}}"', miss='raise ValueError(f"Unable to UPDATE t SET {v{a}}")'),
     # Deserialization.
     R("py-pickle", DESER, r"\b_?c?[pP]ickle\.loads?\s*\(", "Pickle data loaded", "CRITICAL/HIGH", label="user", plain="HIGH/MEDIUM",
       hit="pickle.loads(v{a})", miss="pickle.dumps(v{a})"),
@@ -87,14 +88,14 @@ RULES = pack(
       hit="parser{a} = XMLParser(resolve_entities=True)", miss="parser{a} = XMLParser(huge_tree=False)"),
     R("py-ldap", LDAP, r"(?:ldap|LDAP).*(?:f[\"'].*\{.*\}|%\s*\(|\.format\s*\()", "LDAP filter assembled from parts", "HIGH/HIGH",
       hit='ldap_conn.search(f"(uid={v{a}})")', miss='ldap_conn.search("(uid=root)")'),
-    R("py-mongo-dict", NOSQL, r"(?i)\{.*for.*in.*user|query|request|input", "Query document built from user data", "HIGH/MEDIUM",
+    R("py-mongo-dict", NOSQL, r"(?i)\{.*\bfor\b.*\bin\b.*(?:user|query|request|input)", "Query document built from user data", "HIGH/MEDIUM",
       near=r"\.find\s*\(|\.find_one\s*\(|\.aggregate\s*\(", near_frame=(1, 5), hit="flt{a} = {k: w for k, w in user_data}\nrows{a} = coll.find(flt{a})"),
     R("py-jwt", AUTH, r"\bjwt\.decode\s*\(.*verify\w*[\"']?\s*[=:]\s*False", "Token decoded without verification", "CRITICAL/HIGH",
       hit="claims{a} = jwt.decode(tok, verify=False)", miss="claims{a} = jwt.decode(tok, KEY)"),
     # Evasion.
     R("py-rot13", CODE, r"codecs\.decode\s*\([^,]+,\s*[\"']rot.?13[\"']", "Text hidden by rotation", "HIGH/HIGH",
       hit='n{a} = codecs.decode("flfgrz", "rot13")', miss='n{a} = codecs.decode(raw, "utf-8")'),
-    R("py-b64-sink", CMD, r"base64\.b64decode\s*\(", "Decoded data near a sink", "HIGH/HIGH", unless=r"#.*base64", near=SINK_WORDS, near_frame=(-2, 10),
+    R("py-b64-sink", CMD, r"base64\.b64decode\s*\(", "Decoded data near a sink", "HIGH/HIGH", unless=r"#.*base64", near=RUNS, near_frame=(-2, 10),
       hit='c{a} = base64.b64decode("bHM=")\nos.popen(c{a})'),
     R("py-hex", CODE, r"\.fromhex\s*\(", "Text hidden in hex", "MEDIUM/MEDIUM", hit='h{a} = bytes.fromhex("6c73").decode()', miss='h{a} = float.hex(1.0)'),
     R("py-import-call", CODE, r"__import__\s*\(", "Module imported by call", "HIGH/HIGH", unless=r"[\"'].*__import__.*[\"']",
@@ -108,9 +109,9 @@ RULES = pack(
       unless=r"getattr\s*\(\s*(?:math|string|json|datetime|collections|itertools|functools|operator|re|logging|logger)\s*,",
       near=r"\w+\s*=\s*(?:\w+\.get\s*\(|request\.|input\s*\(|\w+\[)", near_frame=(-9, 0), absent=ALLOW_LIST, absent_frame=(-9, 0),
       hit='act{a} = body.get("action")\nm{a} = getattr(obj, act{a})'),
-    R("py-metaclass", CODE, r"metaclass\s*=|class\s+\w+Meta\s*\(\s*type\s*\)", "Metaclass may run code", "CRITICAL/HIGH", near=r"def\s+__call__.*eval|exec|__import__|getattr", near_frame=(0, 20),
+    R("py-metaclass", CODE, r"metaclass\s*=|class\s+\w+Meta\s*\(\s*type\s*\)", "Metaclass may run code", "CRITICAL/HIGH", near=r"def\s+__call__.*\b(?:eval|exec|__import__|getattr)\b", near_frame=(0, 20),
       hit="class AMeta(type):\n    def __call__(cls): exec(src)"),
-    R("py-descriptor", CODE, r"def\s+__get__\s*\(", "Descriptor runs code", "CRITICAL/HIGH", near=r"eval|exec|compile|__import__", near_frame=(0, 15),
+    R("py-descriptor", CODE, r"def\s+__get__\s*\(", "Descriptor runs code", "CRITICAL/HIGH", near=r"\b(?:" + names_of("builtins") + r")\s*\(", near_frame=(0, 15),
       hit="    def __get__(self, o, t): return eval(o.x)"),
     R("py-context-manager", CMD, r"@contextmanager", "Command hidden in a context manager", "HIGH/HIGH", unless=r"re\.(?:search|match|compile|findall)",
       near=r"(?i)subprocess|Popen|os\.system|shell", near_frame=(0, 15), hit="@contextmanager\ndef tool{a}(x): yield subprocess.run(x)"),
@@ -130,7 +131,7 @@ RULES = pack(
     R("py-join-sink", CMD, r"[\"']\s*\.join\s*\(", "Text joined near a sink", "HIGH/MEDIUM", near=r"(?i)subprocess|system|popen|eval|exec|shell", near_frame=(-1, 3),
       hit='j{a} = " ".join(parts)\nos.popen(j{a})'),
     # Second order.
-    R("py-df-query", CODE, r"\.query\s*\(", "Stored value evaluated by a frame query", "CRITICAL/HIGH", label="db", unless=ORM_CALL, absent=ORM_CONTEXT, absent_frame=(-9, 0),
+    R("py-df-query", CODE, r"\.query\s*\(", "Stored value evaluated by a frame query", "CRITICAL/HIGH", label="db", unless=MAPPED_QUERY, absent=MAPPER, absent_frame=(-9, 0),
       hit="frame.query(v{a})", miss='frame.query("a > 1")'),
     R("py-df-eval", CODE, r"\.eval\s*\(", "Stored value evaluated by a frame", "CRITICAL/HIGH", label="db", unless=r"\.eval\s*\(\s*[\"']",
       hit="frame.eval(v{a})", miss='frame.eval("a + 1")'),

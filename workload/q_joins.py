@@ -101,19 +101,21 @@ def nearest_assignment(spark, d):
     return placed.filter("rhs is not null").select("file_id", "var", "line_no", "rhs", "def_line")
 
 
-def _asof(n: int) -> str:
-    src = sf.case(lambda l: f"({sf.rx('rhs', l.source)} and not {sf.rx('rhs', l.safe_source)})")
-    kill = sf.case(lambda l: sf.rx("rhs", l.killer))
-    return f"""
-a{n} as (select w.*, (select struct_pack(l := max(dd.line_no), r := arg_max(dd.rhs, dd.line_no)) from dd where dd.file_id = w.file_id and dd.var = w.var and dd.line_no < w.line_no) q from w{n} w),
-j{n} as (select file_id, lang, at_var, at_line, q.l def_line, q.r rhs, {src.replace('rhs', 'q.r')} source from a{n} where q.r is not null and not {kill.replace('rhs', 'q.r')}),
-w{n + 1} as (select distinct file_id, lang, at_var, at_line, def_line line_no, unnest({sf.idents('rhs')}) as var from j{n} where not source)"""
+SOURCE = sf.case(lambda l: f"({sf.rx('rhs', l.source)} and not {sf.rx('rhs', l.safe_source)})")
+KILLED = sf.case(lambda l: sf.rx("rhs", l.killer))
 
 
 @query(
     "flow_sensitive_taint",
-    AW + "," + POINTS + ", dd as (select file_id, lhs as var, line_no, max(rhs) rhs from tgt group by all), w0 as (select file_id, lang, var as at_var, line_no as at_line, line_no, var from pt)," + ",".join(_asof(i) for i in range(4))
-    + " select distinct file_id, at_var as var, at_line as line_no from (" + " union all ".join(f"select * from (select file_id, at_var, at_line from j{i} where source)" for i in range(4)) + ")",
+    AW.replace("with ", "with recursive ", 1) + "," + POINTS + f""", dd as (select file_id, lang, lhs as var, line_no, max(rhs) rhs from tgt group by all),
+lk as (select distinct file_id, lang, var, line_no from pt union select file_id, lang, unnest({sf.idents('rhs')}) as var, line_no from dd),
+nd as (select l.file_id, l.lang, l.var, l.line_no, max(dd.line_no) def_line, arg_max(dd.rhs, dd.line_no) rhs from lk l join dd on dd.file_id = l.file_id and dd.var = l.var and dd.line_no < l.line_no group by all),
+jd as (select *, {SOURCE} as is_source from nd where not {KILLED}),
+st as (select distinct file_id, var as of_var, line_no as of_line, def_line as line_no, unnest({sf.idents('rhs')}) as var from jd where not is_source),
+ok(file_id, var, line_no) as (
+ select file_id, var, line_no from jd where is_source
+ union select s.file_id, s.of_var, s.of_line from st s join ok o on o.file_id = s.file_id and o.var = s.var and o.line_no = s.line_no)
+select distinct p.file_id, p.var, p.line_no from pt p join ok o on o.file_id = p.file_id and o.var = p.var and o.line_no = p.line_no""",
 )
 def flow_sensitive_taint(spark, d):
     return joins.flow_sensitive(points(spark, d), cut(assigns(spark, d))).select("file_id", "var", "line_no")
@@ -142,7 +144,7 @@ def safe_literals(spark, d):
     return joins.safe_literals(assigns(spark, d)).select("file_id", "var")
 
 
-DNG = ",".join(f"({quote(m)},{quote(f)})" for m, fs in joins.DANGEROUS.items() for f in fs.split())
+DNG = ",".join(f"({quote(m)},{quote(f)})" for m, fs in joins.DANGEROUS.items() for f in fs)
 VS = f"""dng(module, func) as (values {DNG}),
 fd as (select file_id, lhs as var, line_no, {FOLD_SQL} as value from tgt), fc as (select * from fd where value is not null),
 ga as (select file_id, lhs as var, line_no, regexp_extract(rhs, {quote(joins.GETATTR)}, 1) module, regexp_extract(rhs, {quote(joins.GETATTR)}, 2) nm from tgt),
