@@ -11,8 +11,9 @@ postings of light tokens alone find all candidates. Classes with too few light t
 of near copies) are candidates of each other by their heavy tokens too.
 
 Postings aren't paired. Each list names a hub, its member with the fewest rare tokens; a list's members join the hub's
-family, and a family is worked on in blocks of bounded mass: within a block, a class is held against others that share
-as many prefix tokens as both ask for and aren't yet in its component, by its full set. The families of more than
+family. Families first move with prefixes alone: a class stays in one only if some member shares as many prefix tokens as
+both ask for. Those that stay come with their full sets, in blocks of bounded mass: within a block, a class is held
+against such members that aren't yet in its component. The families of more than
 one block are finished by holding the classes not linked to their hub against all blocks. What comes out are links
 that keep components as they are, never all pairs of a family.
 
@@ -135,7 +136,7 @@ def _counted(tokens: DataFrame, row: str) -> DataFrame:
 
 
 def _partnered(counted: DataFrame, num: int, den: int) -> DataFrame:
-    """The rows that may have partners: rid, n, at (array of place, token)."""
+    """The rows that may have partners. counted: of `_counted`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,28 +145,64 @@ def _partnered(counted: DataFrame, num: int, den: int) -> DataFrame:
             kept = [not partnerless(n, sorted(places[a:b].tolist()), num, den) for n, a, b in zip(batch.column("n").to_pylist(), bounds[:-1], bounds[1:], strict=True)]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
-    return counted.mapInArrow(run, "rid long, n long, at array<struct<place:int,token:long,df:long>>")
+    return counted.mapInArrow(run, counted.schema)
 
 
 def _asked(counted: DataFrame, num: int, den: int) -> DataFrame:
-    """cid, n, asked, rare (places of the longest prefix that no other class holds) and the tokens that index a class. counted: cid, n, at."""
-    schema = pa.schema([("cid", pa.int64()), ("n", pa.int64()), ("asked", pa.int64()), ("rare", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+    """cid, n, asked, rare (places of the longest prefix that no other class holds), held (tokens of the prefix that another class holds) and tokens, those of them that index a class. counted: cid, n, at."""
+    lists = pa.list_(pa.int64())
+    schema = pa.schema([("cid", pa.int64()), ("n", pa.int64()), ("asked", pa.int64()), ("rare", pa.int64()), ("held", lists), ("tokens", lists)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for cid, n, at in zip(*(batch.column(c).to_pylist() for c in ("cid", "n", "at")), strict=True):
                 at.sort(key=lambda x: x["place"])
-                if partnerless(n, [x["place"] for x in at], num, den):
-                    continue
                 asked, hot = choose(n, [x["place"] for x in at if x["df"] > HEAVY], num, den)
                 base = prefix_base(n, num, den)
-                own = [x for x in at if x["place"] < base + asked - 1 and (hot or x["df"] <= HEAVY)]
+                held = [x for x in at if x["place"] < base + asked - 1]
+                own = [x["token"] for x in held if hot or x["df"] <= HEAVY]
                 rare = base + most_matches(n, num, den) - 1 - len(at)
-                rows.append({"cid": cid, "n": n, "asked": asked, "rare": rare, "tokens": [x["token"] for x in own]})
+                rows.append({"cid": cid, "n": n, "asked": asked, "rare": rare, "held": [x["token"] for x in held], "tokens": own})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return counted.mapInArrow(run, "cid long, n long, asked long, rare long, tokens array<long>")
+    return counted.mapInArrow(run, "cid long, n long, asked long, rare long, held array<long>, tokens array<long>")
+
+
+def _near(shared: np.ndarray, x: int, n: np.ndarray, asked: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which members share as many prefix tokens with x as both ask for, and are of a size that can be linked."""
+    return (shared >= np.minimum(asked, asked[x])) & (den * np.minimum(n, n[x]) >= num * np.maximum(n, n[x]))
+
+
+def _paired(dealt: DataFrame, num: int, den: int) -> DataFrame:
+    """family, cid of the members that may be linked to another of their family. dealt: family, blocks, cid, n, asked, held; families of several blocks pass whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (family,), rows in _groups(batches, ["family"]):
+            size = len(rows["cid"])
+            kept = np.full(size, rows["blocks"][0] > 1)
+            if not kept[0]:
+                n, asked = np.array(rows["n"]), np.array(rows["asked"])
+                lengths = [len(x) for x in rows["held"]]
+                tokens = np.array([t for x in rows["held"] for t in x], np.int64)
+                members, order = np.repeat(np.arange(size), lengths), np.argsort(tokens, kind="stable")
+                posted, tokens = members[order], tokens[order]
+                for x in range(size):
+                    if kept[x]:
+                        continue
+                    own = np.array(rows["held"][x], np.int64)
+                    lo, hi = np.searchsorted(tokens, own), np.searchsorted(tokens, own, "right")
+                    shared = np.bincount(np.concatenate([posted[a:b] for a, b in zip(lo, hi, strict=True)]), minlength=size)
+                    near = _near(shared, x, n, asked, num, den)
+                    near[x] = False
+                    if near.any():
+                        kept[x] = True
+                        kept |= near
+            ids = np.array(rows["cid"])[kept]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), family)), pa.array(ids)], names=["family", "cid"])
+
+    placed = dealt.repartition("family").sortWithinPartitions("family")
+    return placed.mapInArrow(run, "family long, cid long")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -208,7 +245,7 @@ def block_links(sets: list[np.ndarray], asked: np.ndarray, sides: np.ndarray, nu
         lo, hi = np.searchsorted(sorted_tokens, own), np.searchsorted(sorted_tokens, own, "right")
         near = np.concatenate([posted[a:b] for a, b in zip(lo, hi, strict=True)])
         shared = np.bincount(near, minlength=len(sets))
-        able = (shared >= np.minimum(asked, asked[x])) & (den * np.minimum(n, n[x]) >= num * np.maximum(n, n[x])) & (component != component[x])
+        able = _near(shared, x, n, asked, num, den) & (component != component[x])
         able[(sides == 0) & (np.arange(len(sets)) < x)] = False
         found = np.flatnonzero(able)
         if not len(found):
@@ -283,14 +320,25 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     rows = partnered.df.join(scanned.df.select("rid", "class", "doc_id", "key"), "rid")
     own = rows.groupBy("class").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "key")).alias("least"), F.first("n").alias("n"), F.first("at").alias("at"))
     classes = Written(own, "classes")
-    held = classes.df.select("cid", "n", F.explode("at").alias("x")).select("cid", "n", "x.place", "x.token")
-    indexed = Written(_asked(_counted(held, "cid"), num, den), "prefixes")
+    # fewer rows share fewer tokens, so the same question sends more of them away, as long as that pays
+    left, size_now = Written(classes.df.select("cid", "n", "at"), "left"), None
+    while True:
+        held = left.df.select("cid", "n", F.explode("at").alias("x")).select("cid", "n", "x.place", "x.token")
+        after = Written(_partnered(_counted(held, "cid"), num, den), "left")
+        left.drop()
+        left, size_before, size_now = after, size_now, after.df.count()
+        if size_before is not None and size_now >= 0.9 * size_before:
+            break
+    indexed = Written(_asked(left.df, num, den), "prefixes")
+    release(spark)
 
     posted = indexed.df.select("cid", "n", "rare", F.explode("tokens").alias("token"))
     hubs = posted.groupBy("token").agg(F.min(F.struct("rare", "cid")).alias("hub"), F.count("*").alias("members")).where("members > 1")
     family = posted.join(hubs, "token").select(F.col("hub.cid").alias("family"), "cid", "n").distinct()
-    families = Written(family, "families")
-    mass = families.df.groupBy("family").agg(F.ceil(F.sum("n") / MASS).alias("blocks"))
+    joined = Written(family, "families")
+    mass = joined.df.groupBy("family").agg(F.ceil(F.sum("n") / MASS).alias("blocks"))
+    lists = indexed.df.select("cid", "asked", "held")
+    families = Written(_paired(joined.df.join(mass, "family").join(lists, "cid").select("family", "blocks", "cid", "n", "asked", "held"), num, den), "paired")
     wanted = families.df.select("cid").distinct().join(indexed.df.select("cid", "asked"), "cid").join(classes.df.select("cid", "least"), "cid")
     wanted = wanted.select("cid", "asked", F.col("least.doc_id").alias("doc_id"), F.col("least.key").alias("key"))
     sets = Written(_sets(given, wanted, size), "sets")
