@@ -9,7 +9,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 NAME = r"[A-Za-z_]\w*"
-QUOTED = r""""[^"\\]*(?:\\.[^"\\]*)*"|'[^'\\]*(?:\\.[^'\\]*)*'"""
+# The repeats give nothing back, so a literal of any length is matched in constant depth.
+DOUBLE = r'"(?:[^"\\]|\\.)*+"'
+SINGLE = r"'(?:[^'\\]|\\.)*+'"
+QUOTED = DOUBLE + "|" + SINGLE
 
 
 @dataclass(frozen=True)
@@ -86,7 +89,7 @@ JAVA = Language(
     comment=r"^\s*(?://|/\*|\*)",
     assign=r"(?:^|[\s(])([\w.]+)\s*\+?=\s*([^=;][^;]*);",
     token=r"([A-Za-z_]\w*)",
-    literal=r'"[^"\\]*(?:\\.[^"\\]*)*"',
+    literal=DOUBLE,
     interpolation="",
     source=r"\.get(?:Parameter|ParameterValues|ParameterMap|Header|Headers|HeaderNames|QueryString|RequestURI|RequestURL|PathInfo|Cookies|InputStream|Reader|Part|Parts)\s*\(",
     direct=r"\.get(?:Parameter|Header|QueryString)\s*\(",
@@ -109,7 +112,7 @@ PHP = Language(
     comment=r"^\s*(?://|#|/\*|\*)",
     assign=r"\$((?:this->)?\w+)\s*\.?=\s*([^=;>][^;]*);",
     token=r"\$(\w+)",
-    literal=r"'[^'\\]*(?:\\.[^'\\]*)*'",
+    literal=SINGLE,
     interpolation="",
     source=r"\$_(?:GET|POST|REQUEST|COOKIE|SERVER|FILES|ENV)\b|\$HTTP_RAW_POST_DATA|file_get_contents\s*\(\s*[\"']php://input|\bgetenv\s*\(|\bgetallheaders\s*\(|\$argv\b",
     direct=r"\$_(?:GET|POST|REQUEST|COOKIE|SERVER|FILES)\s*\[",
@@ -170,7 +173,7 @@ GO = Language(
     comment=r"^\s*(?://|/\*|\*)",
     assign=r"^\s*(?:var\s+)?([A-Za-z_][\w.]*(?:\s*,\s*[A-Za-z_][\w.]*)*)(?:\s+[\w.\[\]*]+)?\s*[:+]?=\s*([^=].*)$",
     token=r"([A-Za-z_]\w*)",
-    literal=r'"[^"\\]*(?:\\.[^"\\]*)*"|`[^`]*`',
+    literal=DOUBLE + r"|`[^`]*`",
     interpolation="",
     source=r"\b[rR](?:eq|equest)?\.(?:FormValue|PostFormValue|URL|Header|Body|Cookie|Cookies|Referer|UserAgent|PathValue|MultipartReader)\b"
            r"|\bc\.(?:Query|DefaultQuery|Param|Params|PostForm|DefaultPostForm|GetHeader|GetRawData|GetPostForm|QueryParam|QueryParams|ParamValues|FormValue|FormParams|Body|Cookies)\s*\("

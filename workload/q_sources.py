@@ -149,7 +149,7 @@ def drop_comment_lines(spark, d):
     return code(spark, d).select("file_id", "line_no")
 
 
-STRIP_SQL = sf.case(lambda l: f"regexp_replace(text, {quote(l.literal)}, '\"\"', 'g')")
+STRIP_SQL = sf.case(lambda l: f"regexp_replace(text, {quote(l.literal.replace("*+", "*"))}, '\"\"', 'g')")
 
 
 @query("strip_string_literals", LW + f" select file_id, line_no, {STRIP_SQL} as bare from lines where lang <> 'webconfig'")

@@ -42,7 +42,7 @@ def code_lines(langs=None) -> str:
 
 def idents(subject: str, langs=None) -> str:
     def build(l):
-        bare = f"regexp_extract_all(regexp_replace({subject}, {quote(l.literal)}, '\"\"', 'g'), {quote(l.token)}, 1)"
+        bare = f"regexp_extract_all(regexp_replace({subject}, {quote(l.literal.replace("*+", "*"))}, '\"\"', 'g'), {quote(l.token)}, 1)"
         if not l.interpolation:
             return bare
         inner = f"array_to_string(regexp_extract_all({subject}, {quote(l.interpolation)}, 1), ' ')"
