@@ -230,7 +230,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 SHIFT = 1 << 32
 
 
-def propagate_passes(seeds: DataFrame, edges: DataFrame, passes: int = 3) -> DataFrame:
+def propagate_passes(seeds: DataFrame, edges: DataFrame, passes: int) -> DataFrame:
     """Closure limited to ``passes`` in-order sweeps over each file.
 
     A sweep crosses any chain whose lines ascend, so a pass is spent only where an edge
@@ -286,11 +286,12 @@ def call_assignments(assigns: DataFrame, functions: DataFrame) -> DataFrame:
     return facts.explode_tokens(calls, "arg", None, "src").drop("arg", "lang")
 
 
-def summarize_functions(lines: DataFrame, functions: DataFrame, max_rounds: int = 3) -> DataFrame:
+def summarize_functions(lines: DataFrame, functions: DataFrame) -> DataFrame:
     """Which parameter positions reach the return value: (file, name, param_to_return).
 
     Parameters carry their position as a label through the edges of their own scope. Calls
-    of summarised functions add edges for the next round, until no summary grows.
+    of summarised functions add edges for the next round, until no summary grows, however
+    long a chain of calls is: there are no more rounds than functions in a file.
     """
     assigns = facts.explode_targets(facts.extract_assignments(lines))
     calls = cut(call_assignments(assigns, functions))
@@ -312,7 +313,7 @@ def summarize_functions(lines: DataFrame, functions: DataFrame, max_rounds: int
     named = functions.select("file_id", "scope_id", "name").distinct()
     summaries = None
     size = -1
-    for _ in range(max_rounds):
+    while True:
         edges = plain
         if summaries is not None:
             edges = edges.unionByName(
@@ -342,12 +343,12 @@ def summary_edges(calls: DataFrame, summaries: DataFrame) -> DataFrame:
     )
 
 
-def interprocedural(lines: DataFrame, max_rounds: int = 3) -> DataFrame:
+def interprocedural(lines: DataFrame) -> DataFrame:
     """Taint per function scope with calls of the file's own functions seen through summaries."""
     scoped = cut(facts.assign_scope(facts.drop_comments(lines)))
     functions = cut(facts.extract_functions(scoped.drop("scope_id")))
     assigns = facts.explode_targets(facts.extract_assignments(scoped))
-    summaries = summarize_functions(scoped, functions, max_rounds)
+    summaries = summarize_functions(scoped, functions)
     calls = call_assignments(assigns, functions)
     own_calls = calls.select("file_id", "scope_id", "line_no", F.col("lhs").alias("dst")).distinct()
     edges = (

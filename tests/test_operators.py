@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from seepline.functions import frames
+from seepline.functions import frames, text as tx
 from seepline.operators import detect as det, facts, findings as fnd, joins, taint as tnt
 from seepline.plans import scan
 from seepline.rules import all_rules, rules_for
@@ -120,6 +120,28 @@ def test_summaries_carry_taint_through_calls(spark):
     assert (4, "b") in got and (4, "c") not in got
 
 
+def test_summaries_follow_long_chains_of_calls(spark):
+    text = "def f0(x):\n    return x\n" + "".join(f"def f{k}(x):\n    y = f{k - 1}(x)\n    return y\n" for k in range(1, 7))
+    text += 'def h():\n    a = request.args.get("q")\n    b = f6(a)'
+    scoped = facts.assign_scope(code(spark, "python", text))
+    names = {r["name"] for r in tnt.summarize_functions(scoped, facts.extract_functions(scoped.drop("scope_id"))).collect()}
+    assert names == {f"f{k}" for k in range(7)}
+
+
+def test_as_of_walks_have_no_depth(spark):
+    text = 'v0 = request.args.get("q")\n' + "\n".join(f"v{k} = v{k - 1}" for k in range(1, 9)) + "\nw = 1\nrun(v8, w)"
+    assigns = facts.explode_targets(facts.extract_assignments(code(spark, "python", text)))
+    points = spark.createDataFrame([(1, "python", 0, v, 11) for v in ("v8", "w")], "file_id long, lang string, scope_id long, var string, line_no int")
+    points = points.join(assigns.select("file_id").distinct().withColumnRenamed("file_id", "own")).drop("file_id").withColumnRenamed("own", "file_id")
+    assert {r["var"] for r in joins.flow_sensitive(points, assigns).collect()} == {"v8"}
+
+
+def test_literals_of_any_length(spark):
+    text = 'x = "' + '\\"' * 100_000 + '" + y'
+    row = code(spark, "python", text).select(tx.identifiers(F.col("text"), F.col("lang")).alias("names")).first()
+    assert row.names == ["x", "y"]
+
+
 def test_gates_need_anchor_exit_and_open_block(spark):
     text = '$p = "/^[a-z]+$/";\n$v = $_GET["q"];\nif (!preg_match($p, $v)) {\n  exit();\n}\n$w = $_GET["r"];\nif (!preg_match($p, $w)) {\n  log();\n}\nexit();'
     lines = code(spark, "php", text)

@@ -159,17 +159,20 @@ s{n} as (select distinct w.file_id, f.name, cast(w.pos as int) arg_pos from w{n}
   join fn f on f.file_id = w.file_id and f.scope_id = w.scope_id)"""
 
 
-SUMM = ",".join([SCOPED, _round(1), _round(2), _round(3)])
+# As many rounds as the corpus's longest chain of calls needs, and more; the operator itself has no such number.
+ROUNDS = 6
+SUMM = ",".join([SCOPED, *(_round(n + 1) for n in range(ROUNDS))])
+LAST = f"s{ROUNDS}"
 
 
-@query("summarize_functions", f"{R},{SUMM} select file_id, name, array_to_string(list_sort(list(arg_pos)), ',') as params from s3 group by file_id, name")
+@query("summarize_functions", f"{R},{SUMM} select file_id, name, array_to_string(list_sort(list(arg_pos)), ',') as params from {LAST} group by file_id, name")
 def summarize_functions(spark, d):
     scoped = cut(facts.assign_scope(code(spark, d)))
     fns = cut(facts.extract_functions(scoped.drop("scope_id")))
     return tnt.summarize_functions(scoped, fns).select("file_id", "name", F.array_join("param_to_return", ",").alias("params"))
 
 
-@query("apply_function_summaries", f"{R},{SUMM} select distinct c.file_id, c.scope_id, src, lhs as dst, line_no from cl c join s3 s on s.file_id = c.file_id and s.name = c.callee and s.arg_pos = c.arg_pos where src <> lhs")
+@query("apply_function_summaries", f"{R},{SUMM} select distinct c.file_id, c.scope_id, src, lhs as dst, line_no from cl c join {LAST} s on s.file_id = c.file_id and s.name = c.callee and s.arg_pos = c.arg_pos where src <> lhs")
 def apply_function_summaries(spark, d):
     scoped = cut(facts.assign_scope(code(spark, d)))
     fns = cut(facts.extract_functions(scoped.drop("scope_id")))
@@ -179,7 +182,7 @@ def apply_function_summaries(spark, d):
 
 @query(
     "interprocedural_fixpoint",
-    f"""{R},{SUMM}, ge as (select file_id, scope_id, src, dst from plain union select c.file_id, c.scope_id, src, lhs from cl c join s3 s on s.file_id = c.file_id and s.name = c.callee and s.arg_pos = c.arg_pos where src <> lhs),
+    f"""{R},{SUMM}, ge as (select file_id, scope_id, src, dst from plain union select c.file_id, c.scope_id, src, lhs from cl c join {LAST} s on s.file_id = c.file_id and s.name = c.callee and s.arg_pos = c.arg_pos where src <> lhs),
  gw(file_id, scope_id, var) as (select file_id, scope_id, var from (select file_id, scope_id, var from seed0 where label = 'user' union select file_id, scope_id, var from par where tainted) q
   union select w.file_id, w.scope_id, g.dst from gw w join ge g on g.file_id = w.file_id and g.scope_id = w.scope_id and g.src = w.var) select file_id, scope_id, var from gw""",
 )
