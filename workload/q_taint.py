@@ -152,10 +152,10 @@ def _round(n: int) -> str:
     """Summaries of round n: parameters walk over plain edges and those of round n - 1."""
     extra = "" if n == 1 else f" union select c.file_id, c.scope_id, src, lhs from cl c join s{n - 1} s on s.file_id = c.file_id and s.name = c.callee and s.arg_pos = c.arg_pos where src <> lhs"
     return f"""
-g{n} as (select file_id, scope_id, src, dst from plain{extra}),
+g{n} as materialized (select file_id, scope_id, src, dst from plain{extra}),
 w{n}(file_id, scope_id, var, pos) as (select file_id, scope_id, var, arg_pos from par
   union select w.file_id, w.scope_id, g.dst, w.pos from w{n} w join g{n} g on g.file_id = w.file_id and g.scope_id = w.scope_id and g.src = w.var),
-s{n} as (select distinct w.file_id, f.name, cast(w.pos as int) arg_pos from w{n} w join rt on rt.file_id = w.file_id and rt.scope_id = w.scope_id and rt.var = w.var
+s{n} as materialized (select distinct w.file_id, f.name, cast(w.pos as int) arg_pos from w{n} w join rt on rt.file_id = w.file_id and rt.scope_id = w.scope_id and rt.var = w.var
   join fn f on f.file_id = w.file_id and f.scope_id = w.scope_id)"""
 
 
