@@ -175,7 +175,10 @@ def _near(shared: np.ndarray, x: int, n: np.ndarray, asked: np.ndarray, num: int
 
 
 def _paired(dealt: DataFrame, num: int, den: int) -> DataFrame:
-    """family, cid of the members that may be linked to another of their family. dealt: family, blocks, cid, n, asked, held; families of several blocks pass whole."""
+    """family, cid, blocks of the members that may be linked to another of their family. dealt: family, blocks, cid, n, asked, held.
+
+    Families of several blocks pass whole. Others are named anew by the members that stay (negative numbers), so that families left with the same members become one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (family,), rows in _groups(batches, ["family"]):
@@ -198,11 +201,14 @@ def _paired(dealt: DataFrame, num: int, den: int) -> DataFrame:
                     if near.any():
                         kept[x] = True
                         kept |= near
-            ids = np.array(rows["cid"])[kept]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), family)), pa.array(ids)], names=["family", "cid"])
+            ids = np.sort(np.array(rows["cid"])[kept])
+            if rows["blocks"][0] == 1:
+                family = -1 - int.from_bytes(hashlib.blake2b(ids.tobytes(), digest_size=7).digest(), "little")
+            same = [pa.array(np.full(len(ids), x)) for x in (family, rows["blocks"][0])]
+            yield pa.RecordBatch.from_arrays([same[0], pa.array(ids), same[1]], names=["family", "cid", "blocks"])
 
     placed = dealt.repartition("family").sortWithinPartitions("family")
-    return placed.mapInArrow(run, "family long, cid long")
+    return placed.mapInArrow(run, "family long, cid long, blocks long").distinct()
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -345,7 +351,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     release(spark)
 
     unique = sets.df.dropDuplicates(["cid"])
-    members = families.df.select("family", "cid").join(mass, "family").join(unique, "cid")
+    members = families.df.join(unique, "cid")
     block = F.pmod(F.xxhash64("cid"), F.col("blocks"))
     # a hub stands in every block of its family
     spread = F.when(F.col("family") == F.col("cid"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(block))
