@@ -12,10 +12,11 @@ of near copies) are candidates of each other by their heavy tokens too.
 
 Postings aren't paired. Each list names a hub, its member with the fewest rare tokens; a list's members join the hub's
 family. Families first move with prefixes alone: a class stays in one only if some member shares as many prefix tokens as
-both ask for. Those that stay come with their full sets, in blocks of bounded mass: within a block, a class is held
-against such members that aren't yet in its component. The families of more than
-one block are finished by holding the classes not linked to their hub against all blocks. What comes out are links
-that keep components as they are, never all pairs of a family.
+both ask for. Then each class comes with its whole text, compressed, to one of its families, in blocks of bounded mass;
+within a block it is held against such members that aren't yet in its component. What is left after that first comparison
+is little: families move with prefixes again, and only members of different components that may be linked come
+together, those of families of more than one block as the classes not in its largest component against all blocks.
+What comes out are links that keep components as they are, never all pairs of a family.
 
 Null, empty and blank texts have no shingles and are linked with nothing. Texts shorter than a shingle have one, all of
 their words. Null and repeated ids are kept: documents are told apart by their rows, classes by their sets; `component_id`
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -175,66 +177,49 @@ def _near(shared: np.ndarray, x: int, n: np.ndarray, asked: np.ndarray, num: int
 
 
 def _paired(dealt: DataFrame, num: int, den: int) -> DataFrame:
-    """family, cid, blocks of the members that may be linked to another of their family. dealt: family, blocks, cid, n, asked, held.
-
-    Families of several blocks pass whole. Others are named anew by the members that stay (negative numbers), so that families left with the same members become one.
-    """
+    """family, cid of the members that may be linked to one of another component. dealt: family, block, side, cid, n, asked, held, component; sides as in `block_links`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (family,), rows in _groups(batches, ["family"]):
-            size = len(rows["cid"])
-            kept = np.full(size, rows["blocks"][0] > 1)
-            if not kept[0]:
-                n, asked = np.array(rows["n"]), np.array(rows["asked"])
-                lengths = [len(x) for x in rows["held"]]
-                tokens = np.array([t for x in rows["held"] for t in x], np.int64)
-                members, order = np.repeat(np.arange(size), lengths), np.argsort(tokens, kind="stable")
-                posted, tokens = members[order], tokens[order]
-                for x in range(size):
-                    if kept[x]:
-                        continue
-                    own = np.array(rows["held"][x], np.int64)
-                    lo, hi = np.searchsorted(tokens, own), np.searchsorted(tokens, own, "right")
-                    shared = np.bincount(np.concatenate([posted[a:b] for a, b in zip(lo, hi, strict=True)]), minlength=size)
-                    near = _near(shared, x, n, asked, num, den)
-                    near[x] = False
-                    if near.any():
-                        kept[x] = True
-                        kept |= near
-            ids = np.sort(np.array(rows["cid"])[kept])
-            if rows["blocks"][0] == 1:
-                family = -1 - int.from_bytes(hashlib.blake2b(ids.tobytes(), digest_size=7).digest(), "little")
-            same = [pa.array(np.full(len(ids), x)) for x in (family, rows["blocks"][0])]
-            yield pa.RecordBatch.from_arrays([same[0], pa.array(ids), same[1]], names=["family", "cid", "blocks"])
-
-    placed = dealt.repartition("family").sortWithinPartitions("family")
-    return placed.mapInArrow(run, "family long, cid long, blocks long").distinct()
-
-
-def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """cid, n, asked, tokens (a whole set, little-endian 64-bit) of the wanted classes (cid, asked, doc_id, key), from their texts."""
+        for (family, _), rows in _groups(batches, ["family", "block"]):
+            order = _once(rows)
+            n, asked, sides = (np.array([rows[c][k] for k in order]) for c in ("n", "asked", "side"))
+            component = np.array([rows["component"][k] for k in order])
+            held = [np.array(rows["held"][k], np.int64) for k in order]
+            tokens, members = np.concatenate(held), np.repeat(np.arange(len(order)), [len(h) for h in held])
+            by_token = np.argsort(tokens, kind="stable")
+            posted, tokens = members[by_token], tokens[by_token]
+            kept = np.zeros(len(order), bool)
+            for x in np.flatnonzero(sides == 0):
+                if kept[x] and sides.max() == 0:
+                    continue
+                lo, hi = np.searchsorted(tokens, held[x]), np.searchsorted(tokens, held[x], "right")
+                near = np.concatenate([posted[:0], *(posted[a:b] for a, b in zip(lo, hi, strict=True))])
+                able = _near(np.bincount(near, minlength=len(order)), x, n, asked, num, den) & (component != component[x])
+                if able.any():
+                    kept[x] = True
+                    kept |= able
+            ids = pa.array([rows["cid"][order[k]] for k in np.flatnonzero(kept)], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([family] * len(ids), pa.int64()), ids], names=["family", "cid"])
+
+    placed = dealt.repartition("family", "block").sortWithinPartitions("family", "block")
+    return placed.mapInArrow(run, "family long, cid long").distinct()
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """cid, text (compressed) of the wanted classes (cid, doc_id, key). A compressed text takes a quarter of what its set of hashes takes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=6)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for a, b in slices(texts):
-                sets = shingle_sets(texts[a:b], size)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("cid").slice(a, b - a),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        batch.column("asked").slice(a, b - a),
-                        pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary()),
-                    ],
-                    names=["cid", "n", "asked", "tokens"],
-                )
+            packed = [packer.compress((t or "").encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(packed, pa.binary())], names=["cid", "text"])
 
     same = docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["key"] == wanted["key"])
-    return docs.join(wanted, same).select("cid", "asked", "text").mapInArrow(run, "cid long, n long, asked long, tokens binary")
+    return docs.join(wanted, same).select("cid", "text").mapInArrow(run, "cid long, text binary").dropDuplicates(["cid"])
 
 
-def block_links(sets: list[np.ndarray], asked: np.ndarray, sides: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Links that connect what the block's pairs connect. sides: 0 held against 1 and 0; 1 only against 0."""
+def block_links(sets: list[np.ndarray], asked: np.ndarray, sides: np.ndarray, component: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Links that connect what the block's pairs connect, beyond what the given components do. sides: 0 held against 1 and 0; 1 only against 0."""
     n = np.array([len(s) for s in sets])
     ends = np.cumsum(n)
     starts = ends - n
@@ -244,7 +229,7 @@ def block_links(sets: list[np.ndarray], asked: np.ndarray, sides: np.ndarray, nu
     places = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
     order = np.argsort(flat[places], kind="stable")
     posted, sorted_tokens = members[order], flat[places][order]
-    component, links = np.arange(len(sets)), []
+    component, links = component.copy(), []
     mark = np.zeros(int(flat.max()) + 1, bool)
     for x in np.flatnonzero(sides == 0):
         own = flat[starts[x] : starts[x] + lengths[x]]
@@ -284,33 +269,74 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
         yield now, rows
 
 
-def _compare(dealt: DataFrame, num: int, den: int) -> DataFrame:
-    """dealt: family, block, cid, asked, side, hub, tokens. Links (a, b), and as (a, null) the members of a family not linked to its hub."""
+def _once(rows: dict[str, list]) -> list[int]:
+    """Places of the rows of a block, each class once: as one that asks (side 0), if it does."""
+    first: dict[int, int] = {}
+    for k, (cid, side) in enumerate(zip(rows["cid"], rows["side"], strict=True)):
+        if cid not in first or side < rows["side"][first[cid]]:
+            first[cid] = k
+    return [first[c] for c in sorted(first)]
+
+
+def _compare(dealt: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Links (a, b). dealt: family, block, side, cid, asked, component, text (compressed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (family, _), rows in _groups(batches, ["family", "block"]):
-            order = sorted({c: k for k, c in enumerate(rows["cid"])}.values(), key=lambda k: (rows["cid"][k] != family, rows["cid"][k]))
+        unpacker = zstandard.ZstdDecompressor()
+        for _, rows in _groups(batches, ["family", "block"]):
+            order = _once(rows)
+            texts = [unpacker.decompress(rows["text"][k]).decode("utf-8", "surrogatepass") for k in order]
+            sets = [s for a, b in slices(texts) for s in shingle_sets(texts[a:b], size)]
+            asked, sides, component = (np.array([rows[c][k] for k in order]) for c in ("asked", "side", "component"))
             ids = [rows["cid"][k] for k in order]
-            sides = np.array([rows["side"][k] for k in order])
-            sets = [np.frombuffer(rows["tokens"][k], "<u8") for k in order]
-            links = block_links(sets, np.array([rows["asked"][k] for k in order]), sides, num, den)
-            parent = list(range(len(ids)))
-
-            def root(k: int) -> int:
-                while parent[k] != k:
-                    parent[k] = parent[parent[k]]
-                    k = parent[k]
-                return k
-
-            for x, y in links:
-                parent[root(x)] = root(y)
-            alone = [k for k in range(len(ids)) if ids[0] == family and root(k) != root(0)] if rows["blocks"][0] > 1 else []
-            a = [ids[x] for x, _ in links] + [ids[k] for k in alone]
-            b = [ids[y] for _, y in links] + [None] * len(alone)
-            yield pa.RecordBatch.from_arrays([pa.array([family] * len(a), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["family", "a", "b"])
+            links = block_links(sets, asked, sides, component, num, den)
+            yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x, _ in links], pa.int64()), pa.array([ids[y] for _, y in links], pa.int64())], names=["a", "b"])
 
     placed = dealt.repartition("family", "block").sortWithinPartitions("family", "block")
-    return placed.mapInArrow(run, "family long, a long, b long")
+    return placed.mapInArrow(run, "a long, b long")
+
+
+def _massed(families: DataFrame) -> DataFrame:
+    """family, cid, n, other columns: those of more than one member, with blocks, the blocks of bounded mass that a family takes."""
+    mass = families.groupBy("family").agg(F.ceil(F.sum("n") / MASS).alias("blocks"), F.count("*").alias("members")).where("members > 1")
+    return families.join(mass.drop("members"), "family")
+
+
+def _whole(massed: DataFrame) -> DataFrame:
+    """Families of one block: all members are held against each other."""
+    return massed.where("blocks = 1").drop("blocks").withColumn("block", F.lit(0).cast("long")).withColumn("side", F.lit(0))
+
+
+def _among_hub(massed: DataFrame) -> DataFrame:
+    """Blocks of families, in each of which the hub stands too."""
+    block = F.pmod(F.xxhash64("cid"), F.col("blocks"))
+    spread = F.when(F.col("family") == F.col("cid"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(block))
+    return massed.withColumn("block", F.explode(spread)).drop("blocks").withColumn("side", F.lit(0))
+
+
+def _beyond_main(massed: DataFrame) -> DataFrame:
+    """Families of several blocks: members that aren't in their family's largest component, in blocks, are held against all members, in blocks."""
+    large = massed.where("blocks > 1")
+    parts = large.groupBy("family", "component").agg(F.count("*").alias("members"))
+    main = parts.groupBy("family").agg(F.max(F.struct("members", "component")).alias("main"))
+    large = large.join(main, "family").withColumn("asks", F.col("component") != F.col("main.component")).drop("main")
+    rows = large.where("asks").groupBy("family").agg(F.ceil(F.sum("n") / MASS).alias("ask_blocks"))
+    placed = large.join(rows, "family").withColumn("column", F.pmod(F.xxhash64("cid"), F.col("blocks")))
+    across = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda c: F.pmod(F.xxhash64("cid"), F.col("ask_blocks")) * F.col("blocks") + c)
+    down = F.transform(F.sequence(F.lit(0).cast("long"), F.col("ask_blocks") - 1), lambda r: r * F.col("blocks") + F.col("column"))
+    asking = placed.where("asks").withColumn("block", F.explode(across)).withColumn("side", F.lit(0))
+    # those that ask are held against each other too: each stands in the column of its own block as well
+    held = placed.withColumn("block", F.explode(down)).withColumn("side", F.lit(1))
+    return asking.unionByName(held).drop("asks", "ask_blocks", "column", "blocks")
+
+
+def _left(families: DataFrame) -> DataFrame:
+    """family, cid of families of several components; of those with the same members, one. families: family, cid, component."""
+    several = families.groupBy("family").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"), *(F.sum(F.xxhash64("cid", F.lit(k)).cast("decimal(38,0)")).alias(f"sum{k}") for k in (0, 1))
+    )
+    one = several.where("low <> high").groupBy("members", "sum0", "sum1").agg(F.min("family").alias("family"))
+    return families.join(one.select("family"), "family").select("family", "cid")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -340,28 +366,38 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
 
     posted = indexed.df.select("cid", "n", "rare", F.explode("tokens").alias("token"))
     hubs = posted.groupBy("token").agg(F.min(F.struct("rare", "cid")).alias("hub"), F.count("*").alias("members")).where("members > 1")
-    family = posted.join(hubs, "token").select(F.col("hub.cid").alias("family"), "cid", "n").distinct()
+    family = posted.join(hubs, "token").select(F.col("hub.cid").alias("family"), F.col("hub.rare").alias("hub_rare"), "cid", "n").distinct()
     joined = Written(family, "families")
-    mass = joined.df.groupBy("family").agg(F.ceil(F.sum("n") / MASS).alias("blocks"))
     lists = indexed.df.select("cid", "asked", "held")
-    families = Written(_paired(joined.df.join(mass, "family").join(lists, "cid").select("family", "blocks", "cid", "n", "asked", "held"), num, den), "paired")
-    wanted = families.df.select("cid").distinct().join(indexed.df.select("cid", "asked"), "cid").join(classes.df.select("cid", "least"), "cid")
-    wanted = wanted.select("cid", "asked", F.col("least.doc_id").alias("doc_id"), F.col("least.key").alias("key"))
-    sets = Written(_sets(given, wanted, size), "sets")
+    apart = _massed(joined.df.withColumn("component", F.col("cid")))
+    # larger families are sifted after the first comparison
+    able = _paired(_whole(apart).join(lists, "cid"), num, den).unionByName(apart.where("blocks > 1").select("family", "cid"))
+    families = Written(joined.df.join(able, ["family", "cid"]), "paired")
+    joined.drop()
+    wanted = families.df.select("cid").distinct().join(classes.df.select("cid", "least"), "cid")
+    texts = Written(_texts(given, wanted.select("cid", F.col("least.doc_id").alias("doc_id"), F.col("least.key").alias("key"))), "texts")
     release(spark)
 
-    unique = sets.df.dropDuplicates(["cid"])
-    members = families.df.join(unique, "cid")
-    block = F.pmod(F.xxhash64("cid"), F.col("blocks"))
-    # a hub stands in every block of its family
-    spread = F.when(F.col("family") == F.col("cid"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(block))
-    dealt = members.select("family", "blocks", "cid", "asked", "tokens", F.lit(0).alias("side"), F.explode(spread).alias("block"))
-    first = Written(_compare(dealt, num, den), "compared")
-    links = first.df.where("b is not null").select("a", "b")
-    alone = first.df.where("b is null").select("family", F.col("a").alias("cid")).distinct()
-    if not alone.isEmpty():
-        links = links.unionByName(_finish(alone, members, num, den))
-    found = components(links)
+    # each class is compared in one family first, that of the hub with the fewest rare tokens, in which hubs meet as well
+    own = families.df.groupBy("cid", "n").agg(F.min(F.struct("hub_rare", "family")).alias("hub")).select("hub.family", "cid", "n")
+    hubs = families.df.where("family = cid").join(own.select("family").distinct(), "family").select("family", "cid", "n")
+    payload = lists.select("cid", "asked").join(texts.df, "cid")
+    once = _among_hub(_massed(own.unionByName(hubs).distinct())).withColumn("component", F.col("cid"))
+    first = Written(_compare(once.join(payload, "cid"), size, num, den), "compared")
+    release(spark)
+
+    # then only those come together again that may be linked and aren't in one component yet
+    known = Written(components(first.df), "components")
+    named = known.df.select(F.col("node").alias("cid"), "root")
+    member = families.df.select("family", "cid", "n").join(named, "cid", "left").select("family", "cid", "n", F.coalesce("root", "cid").alias("component"))
+    open_families = Written(_massed(member.join(_left(member), ["family", "cid"])), "open")
+    dealt = _whole(open_families.df).unionByName(_beyond_main(open_families.df))
+    sifted = Written(_paired(dealt.join(lists, "cid"), num, den), "sifted")
+    still = open_families.df.join(sifted.df, ["family", "cid"])
+    still = Written(_massed(still.join(_left(still), ["family", "cid"]).drop("blocks")), "still")
+    again = _whole(still.df).unionByName(_beyond_main(still.df)).join(payload, "cid")
+    second = Written(_compare(again, size, num, den), "compared")
+    found = components(first.df.unionByName(second.df))
     release(spark)
 
     low = classes.df.select("cid", "class", "low")
@@ -376,24 +412,3 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
         F.when(F.col("n") > 0, F.coalesce("root", "rid")).alias("component"),
         F.when(F.col("root").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
-
-
-def _finish(alone: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
-    """Links of families of several blocks: members not linked to the hub, in blocks, against all members, in blocks."""
-    asking = alone.join(members, ["family", "cid"])
-    rows = asking.groupBy("family").agg(F.ceil(F.sum("n") / MASS).alias("ask_blocks"))
-    own = F.pmod(F.xxhash64("cid"), F.col("ask_blocks"))
-    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    asks = asking.join(rows, "family").select("family", "cid", "asked", "tokens", F.lit(0).alias("side"), (own * F.col("blocks")).alias("row"), F.explode(every).alias("column"))
-    held = F.pmod(F.xxhash64("cid"), F.col("blocks"))
-    each = F.sequence(F.lit(0).cast("long"), F.col("ask_blocks") - 1)
-    rest = members.join(rows, "family").join(alone, ["family", "cid"], "left_anti")
-    rest = rest.select("family", "cid", "asked", "tokens", F.lit(1).alias("side"), "blocks", held.alias("column"), F.explode(each).alias("r"))
-    rest = rest.withColumn("row", F.col("r") * F.col("blocks")).drop("r", "blocks")
-    # those that ask are held against each other too: each stands in the column of its own block as well
-    among = asking.join(rows, "family").select("family", "cid", "asked", "tokens", F.lit(1).alias("side"), "blocks", held.alias("column"), F.explode(each).alias("r"))
-    among = among.withColumn("row", F.col("r") * F.col("blocks")).drop("r", "blocks")
-    cells = asks.unionByName(rest).unionByName(among)
-    dealt = cells.select("family", (F.col("row") + F.col("column")).alias("block"), F.lit(1).alias("blocks"), "cid", "asked", "side", "tokens")
-    dealt = dealt.groupBy("family", "block", "blocks", "cid").agg(F.min("side").alias("side"), F.first("asked").alias("asked"), F.first("tokens").alias("tokens"))
-    return _compare(dealt, num, den).select("a", "b")
