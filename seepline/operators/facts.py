@@ -342,23 +342,22 @@ def locate(content: Column, offset: Column) -> tuple[Column, Column]:
 
 
 def detect_minified(files: DataFrame) -> DataFrame:
-    """Flag generated or compressed files by size, line length, density, name and letters."""
+    """Flag generated or compressed files: by name, by very long lines, or as statements packed without white space.
+
+    Rates are taken over the whole text, so that a header of comments doesn't decide.
+    """
     content = F.col("content")
-    lines = tx.split_lines(content)
-    lengths = F.transform(lines, lambda l: F.length(l))
-    total = F.aggregate(lengths, F.lit(0), lambda a, x: a + x)
-    sample = F.substring(content, 1, 5000)
-    count = lambda ch: F.length(sample) - F.length(F.replace(sample, F.lit(ch), F.lit("")))
+    lengths = F.transform(tx.split_lines(content), lambda l: F.length(l))
+    lines, size = F.size(lengths), F.length(content)
+    statements = size - F.length(F.replace(content, F.lit(";"), F.lit("")))
+    blanks = size - F.length(F.translate(content, " \t\r\n", ""))
     name = F.lower(F.substring_index("path", "/", -1))
-    letters = sample.rlike(r"\b[a-z]\s*=\s*[a-z]\s*\(") & sample.rlike(r"\b[a-z]\s*,\s*[a-z]\s*,\s*[a-z]\b")
     return files.withColumn(
         "minified",
-        ((F.size(lines) <= 10) & (F.length(content) > 5000))
-        | (total / F.size(lines) > 500)
+        name.rlike(r"[.-]min\.")
+        | (F.aggregate(lengths, F.lit(0), lambda a, x: a + x) > 500 * lines)
         | (F.array_max(lengths) > 1000)
-        | ((count(";") > 50) & (count("\n") < 20))
-        | name.contains(".min.") | name.contains("-min.")
-        | (letters & (F.size(F.regexp_extract_all(sample, F.lit(r"\b[a-zA-Z]\s*[=,(]"), F.lit(0))) > 100)),
+        | ((statements >= 3 * lines) & (10 * blanks < size)),
     )
 
 

@@ -77,12 +77,14 @@ def severity_gate(findings: DataFrame, by: str) -> DataFrame:
 
 
 def scan_statistics(files: DataFrame, findings: DataFrame) -> DataFrame:
-    """Files scanned, files without readable text, findings: two aggregates, one row each."""
+    """Files scanned, files without readable text, findings: two aggregates of one row each, added up."""
+    zero = F.lit(0).cast("long")
     scanned = files.agg(
         F.count("*").alias("files_scanned"),
         F.count_if(F.col("content").isNull() | (F.length("content") == 0)).alias("unreadable"),
-    )
-    return scanned.crossJoin(findings.agg(F.count("*").alias("total_findings")))  # one row by one row
+    ).withColumn("total_findings", zero)
+    found = findings.agg(F.count("*").alias("total_findings")).select(zero.alias("files_scanned"), zero.alias("unreadable"), "total_findings")
+    return scanned.unionByName(found).agg(*(F.sum(c).alias(c) for c in scanned.columns))
 
 
 def order_findings(findings: DataFrame) -> DataFrame:

@@ -30,6 +30,9 @@ RULES = pack(
       "CRITICAL/HIGH", label="user", plain="MEDIUM/MEDIUM", hit="g{a} = getattr(builtins, v{a})"),
     R("py-eval", CODE, r"(?:^|\W)(?:eval|exec|compile)\s*\(", "Data evaluated as code", "CRITICAL/HIGH", label="user", plain="MEDIUM/LOW",
       unless=r"\bre\.compile\s*\(", hit="eval(v{a})", miss="p{a} = re.compile(v{a})"),
+    R("py-execfile", CODE, r"\bexecfile\s*\(", "File run as code", "CRITICAL/HIGH", label="user", plain="MEDIUM/LOW", hit="execfile(v{a})", miss="profile(v{a})"),
+    R("py-commands", CMD, r"\b(?:commands|subprocess)\.get(?:status)?output\s*\(", "Shell command from user data", "CRITICAL/HIGH", label="user",
+      hit="commands.getoutput(v{a})", miss='commands.getoutput("date")'),
     R("py-os-system", CMD, r"(?:^|\W)system\s*\(", "Shell command from user data", "CRITICAL/HIGH", label="user",
       unless=r"\bquote\s*\(", hit='os.system("ping " + v{a})', miss='os.system(f"ping {shlex.quote(v{a})}")'),
     R("py-popen", CMD, r"(?:^|\W)popen[234]?\s*\(", "Shell command from user data", "CRITICAL/HIGH", label="user",
@@ -63,7 +66,9 @@ RULES = pack(
     # Deserialization.
     R("py-pickle", DESER, r"\b_?c?[pP]ickle\.loads?\s*\(", "Pickle data loaded", "CRITICAL/HIGH", label="user", plain="HIGH/MEDIUM",
       hit="pickle.loads(v{a})", miss="pickle.dumps(v{a})"),
-    R("py-yaml", DESER, r"\byaml\.(?:load|unsafe_load|full_load)\s*\(", "YAML loaded with object construction", "CRITICAL/HIGH", label="user",
+    R("py-shelve", DESER, r"\bshelve\.open\s*\(", "Shelf of pickled values opened", "CRITICAL/HIGH", label="user", plain="MEDIUM/LOW",
+      hit="shelve.open(v{a})", miss="shelve.close(v{a})"),
+    R("py-yaml", DESER, r"\byaml\.(?:load|unsafe_load|full_load)(?:_all)?\s*\(", "YAML loaded with object construction", "CRITICAL/HIGH", label="user",
       plain="HIGH/MEDIUM", unless=r"Safe", hit="yaml.load(v{a})", miss="yaml.load(v{a}, Loader=yaml.SafeLoader)"),
     R("py-marshal", DESER, r"\bmarshal\.loads?\s*\(", "Marshal data loaded", "CRITICAL/HIGH", label="user", hit="marshal.loads(v{a})", miss="marshal.loads(CONST)"),
     R("py-pickle-hidden", DESER, r"\.loads\s*\(", "Loader with a hidden pickle reference", "CRITICAL/HIGH", near=r"pickle|cvpxyr|7069636b6c65", near_frame=(-4, 1), priority=-1,

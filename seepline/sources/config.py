@@ -60,11 +60,16 @@ def union_rules(builtin: DataFrame, custom: DataFrame) -> DataFrame:
 
 
 def nearest_config(files: DataFrame, configs: DataFrame) -> DataFrame:
-    """Nearest ancestor directory with a configuration, per file: (file_id, dir)."""
-    parts = F.split("path", "/")
-    ancestors = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    return (
-        files.filter(F.size(parts) > 1).select("file_id", F.posexplode(ancestors).alias("depth", "dir"))
+    """Nearest ancestor directory with a configuration, per file: (file_id, dir).
+
+    Resolved once per distinct folder, so that the files of a repository don't meet in the key of its root.
+    """
+    placed = files.select("file_id", F.regexp_extract("path", "^(.*)/", 1).alias("folder")).filter("folder <> ''")
+    parts = F.split("folder", "/")
+    ancestors = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    nearest = (
+        placed.select("folder").distinct().select("folder", F.posexplode(ancestors).alias("depth", "dir"))
         .join(configs.select("dir").distinct(), "dir")
-        .groupBy("file_id").agg(F.max_by("dir", "depth").alias("dir"))
+        .groupBy("folder").agg(F.max_by("dir", "depth").alias("dir"))
     )
+    return placed.join(nearest, "folder").select("file_id", "dir")

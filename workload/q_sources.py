@@ -73,14 +73,14 @@ CONFIG = (
 
 @query(
     "load_rules",
-    "with o as (select 'd' || o_orderkey dir, o_custkey c, o_orderkey k from orders where o_orderkey % 5 = 0)"
+    "with o as (select 'd' || o_orderkey dir, o_custkey c, o_orderkey k from orders)"
     " select dir, 'source' as kind, 'python' as lang, cast(null as varchar) as category, 'src' || c as pattern from o"
     " union all select dir, 'source', 'java', null, unnest(['in' || c, 'get']) from o"
     " union all select dir, 'sink', 'php', 'SQL_INJECTION', 'q' || k from o"
     " union all select dir, 'sanitizer', 'go', 'XSS', unnest(['esc', 'clean' || (k % 3)]) from o",
 )
 def load_rules(spark, d):
-    docs = tables(spark, d, "orders").filter("o_orderkey % 5 = 0").selectExpr("concat('d', o_orderkey) as dir", f"{CONFIG} as doc")
+    docs = tables(spark, d, "orders").selectExpr("concat('d', o_orderkey) as dir", f"{CONFIG} as doc")
     return config.config_rules(docs)
 
 
@@ -346,10 +346,9 @@ def fold_constants(spark, d):
 
 @query(
     "detect_minified",
-    r"""with x as (select doc_id as file_id, source as path, text as content, string_split_regex(regexp_replace(text, '(?:\r\n|\n|\r)\z', ''), '\r\n|\n|\r') ls, substr(text, 1, 5000) sample from documents)
- select file_id, (len(ls) <= 10 and length(content) > 5000) or list_sum(list_transform(ls, lambda l: length(l))) / len(ls) > 500 or list_max(list_transform(ls, lambda l: length(l))) > 1000
-  or (length(sample) - length(replace(sample, ';', '')) > 50 and length(sample) - length(replace(sample, chr(10), '')) < 20) or contains(lower(path), '.min.') or contains(lower(path), '-min.')
-  or (regexp_matches(sample, '\b[a-z]\s*=\s*[a-z]\s*\(') and regexp_matches(sample, '\b[a-z]\s*,\s*[a-z]\s*,\s*[a-z]\b') and len(regexp_extract_all(sample, '\b[a-zA-Z]\s*[=,(]')) > 100) as minified from x""",
+    r"""with x as (select doc_id as file_id, source as path, text as content, list_transform(string_split_regex(regexp_replace(text, '(?:\r\n|\n|\r)\z', ''), '\r\n|\n|\r'), lambda l: length(l)) ls from documents)
+ select file_id, regexp_matches(lower(path), '[.-]min\.') or list_sum(ls) > 500 * len(ls) or list_max(ls) > 1000
+  or (length(content) - length(replace(content, ';', '')) >= 3 * len(ls) and 10 * len(regexp_extract_all(content, '[ \t\r\n]')) < length(content)) as minified from x""",
 )
 def detect_minified(spark, d):
     docs = tables(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.col("source").alias("path"), F.col("text").alias("content"))
