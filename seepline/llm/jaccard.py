@@ -87,11 +87,14 @@ def most_matches(n: int, num: int, den: int) -> int:
 
 
 def partnerless(n: int, held: list[int], num: int, den: int) -> bool:
-    """Whether some prefix asks for more shared tokens than it has; held: places of tokens that another set holds (ascending)."""
-    base = prefix_base(n, num, den)
+    """Whether some prefix asks for more shared tokens than it has; held: places of tokens that another set holds (ascending).
+
+    Tokens are counted among longest prefixes, so no more is asked for than that of the smallest partner holds.
+    """
+    base, most = prefix_base(n, num, den), most_matches(-(-num * n // den), num, den)
     for k, place in enumerate([*held, n + base + len(held)]):
         if place >= base + k:  # the prefix that asks for k + 1 has k
-            return k < most_matches(n, num, den) and base + k <= n
+            return k < most and base + k <= n
     raise AssertionError
 
 

@@ -1,6 +1,7 @@
 """Personal data, toxicity, near duplicates and fingerprints against brute force."""
 
 import hashlib
+import itertools
 import random
 import re
 
@@ -201,6 +202,37 @@ def test_asked_tokens_are_in_reach(n, heavy):
         assert asked == 1 + sum(p < end for p in places) and asked <= jaccard.most_matches(-(-80 * n // 100), 80, 100)
 
 
+def longest_prefix(n, num):
+    return min(n, jaccard.prefix_base(n, num, 100) + jaccard.most_matches(n, num, 100) - 1)
+
+
+@pytest.mark.parametrize("num", [80, 90])
+def test_linked_sets_are_never_partnerless(num):
+    """All pairs of small sizes at the least overlap that links them; what only one of them holds stands together, anywhere."""
+    for n in range(1, 31):
+        for m in range(-(-num * n // 100), n + 1):
+            both = next((o for o in range(m + 1) if 100 * o >= num * (n + m - o)), None)
+            if both is None:
+                continue
+            for i, j in itertools.product(range(both + 1), repeat=2):
+                a = [*range(i), *(-1 - k for k in range(n - both)), *range(i, both)]
+                b = [*range(j), *(-100 - k for k in range(m - both)), *range(j, both)]
+                wide_a, wide_b = a[: longest_prefix(n, num)], b[: longest_prefix(m, num)]
+                held = set(wide_a) & set(wide_b)
+                assert not jaccard.partnerless(n, [k for k, t in enumerate(wide_a) if t in held], num, 100), (n, m, i, j)
+                assert not jaccard.partnerless(m, [k for k, t in enumerate(wide_b) if t in held], num, 100), (n, m, i, j)
+
+
+def test_near_duplicates_of_ten_and_nine_shingles(spark):
+    rows = []
+    for k in range(20):
+        words = [f"w{k}x{j}" for j in range(12)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:-1] if k % 2 else words[1:]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(df, 3, 90, 100).collect()}
+    assert got == {i: i // 2 * 2 for i, _ in rows}
+
+
 def test_components(spark):
     r = random.Random(1)
     links = [(k, k + 1) for k in range(0, 200) if k % 50] + [(1000, 1000 + k) for k in range(100)] + [(r.randrange(300, 600), r.randrange(300, 600)) for _ in range(150)]
