@@ -6,9 +6,9 @@ much longer it is with the ordinary dictionary, and how long with the toxic one,
 has a threshold-like weight, calibrated on texts whose words the dictionaries haven't seen (by folds), and a
 document's score is a logistic function of its highest weight and its number of windows.
 
-Learning takes a bounded sample: at most `most` labelled rows of each class, in the order of a hash of their ids, and
-at most TEXT characters of each text. Scoring reads every window of every whole text. A window compressed once
-is remembered by the worker process.
+Learning takes a bounded sample: at most `most` labelled rows of each class, in the order of a hash of their ids, each with
+its whole text: tasks take its distinct words and the number of its windows, and only these come to the driver. Scoring
+reads every window of every whole text. A window compressed once is remembered by the worker process.
 
 Null text is empty; empty texts get the score that no window gives. Without labels of both classes every score is the
 share of toxic labels (0 without any). Null ids are scored and never held out; rows are scored one by one, so
@@ -19,7 +19,9 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,10 +30,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import Known, range_hashes
-from .rows import free_name, with_text_columns
+from .rows import free_name, slices, with_text_columns
 
 WINDOW = 64  # bytes at most
-TEXT, FOLDS, LEAST, SIZE, LEVEL = 20_000, 5, 8.0, 8000, 12
+FOLDS, LEAST, SIZE, LEVEL = 5, 8.0, 8000, 12
 CARRIER = b"<<0123456789abcdefghij>>"
 EDGE = ".,;:!?|*#$%&\"'()[]"
 WORD = re.compile(r"[^\t-\r ]+")
@@ -115,21 +117,25 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
     return at
 
 
-def fit(texts: list[str], toxic: list[bool], share: float) -> Model:
-    """texts: of the sample; share: of toxic rows among all labelled ones that may be learnt from."""
+def read(text: str) -> tuple[set[str], int]:
+    """The distinct bare words of a whole text, and the number of its windows, as many as `features` counts."""
+    cut = WORD.findall(text.lower())
+    return {_bare(w) for w in cut} - {""}, sum(-(-len(w.encode("utf-8", "ignore")) // WINDOW) for w in cut)
+
+
+def fit(words: list[set[str]], windows: list[int], toxic: list[bool], share: float) -> Model:
+    """words, windows: of the sample's texts, by `read`; share: of toxic rows among all labelled ones that may be learnt from."""
     if not any(toxic) or all(toxic):
         return Model(share=float(share))
-    cut = [WORD.findall(t.lower()) for t in texts]
-    words = [{_bare(w) for w in c} - {""} for c in cut]
-    cells: list[set[int]] = [set()] * len(texts)
+    cells: list[set[int]] = [set()] * len(words)
     for k in range(FOLDS):
-        rest = [j for j in range(len(texts)) if j % FOLDS != k]
+        rest = [j for j in range(len(words)) if j % FOLDS != k]
         flags = [toxic[j] for j in rest]
         if not any(flags) or all(flags):
-            rest, flags = list(range(len(texts))), toxic
+            rest, flags = list(range(len(words))), toxic
         book = Windows(*dictionaries([words[j] for j in rest], flags))
         known: dict[str, int] = {}
-        for j in range(k, len(texts), FOLDS):
+        for j in range(k, len(words), FOLDS):
             for w in words[j] - known.keys():
                 known[w] = book.cell(w.encode("utf-8", "ignore")[:WINDOW])
             cells[j] = {known[w] for w in words[j]}
@@ -140,12 +146,28 @@ def fit(texts: list[str], toxic: list[bool], share: float) -> Model:
     weights = np.zeros(1600)
     for c in set(held[0]) | set(held[1]):
         weights[c] = math.log((held[1][c] + 0.5) / (n + 1)) - math.log((held[0][c] + 0.5) / (m + 1))
-    x = np.array([[1, max((weights[c] for c in own), default=0.0), math.log1p(len(c))] for own, c in zip(cells, cut, strict=True)])
+    x = np.array([[1, max((weights[c] for c in own), default=0.0), math.log1p(c)] for own, c in zip(cells, windows, strict=True)])
     y = np.array(toxic, float)
     slopes = _logistic(x, y, np.where(y == 1, share / n, (1 - share) / m) * len(y))
     return Model(*dictionaries(words, toxic), tuple(weights), tuple(slopes), float(share))
 
 
+def _read_texts(rows: DataFrame) -> DataFrame:
+    """id, toxic, words (distinct, between blanks), windows. rows: id, toxic, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for a, b in slices(texts):
+                found = [read(t) for t in texts[a:b]]
+                words, windows = pa.array([" ".join(w) for w, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())
+                own = (batch.column(c).slice(a, b - a) for c in ("id", "toxic"))
+                yield pa.RecordBatch.from_arrays([*own, words, windows], names=["id", "toxic", "words", "windows"])
+
+    kinds = rows.schema
+    return rows.mapInArrow(run, f"id {kinds['id'].dataType.simpleString()}, toxic {kinds['toxic'].dataType.simpleString()}, words string, windows long")
+
+
 def learn(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, most: int = 1000, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """A model from at most 2 * most labelled rows. learnable: over labels' id column, which rows may be learnt from."""
     given = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull())
@@ -157,9 +179,11 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, m
         return Model()
     parts = [given.where(F.col("toxic") == t).orderBy(F.xxhash64("id"), "id").limit(most) for t in (0, 1)]
     sample = parts[0].unionByName(parts[1])
-    texts = docs.select(F.col(doc_id).alias("id"), F.substring(F.coalesce(F.col(text).cast("string"), F.lit("")), 1, TEXT).alias("text"))
-    rows = texts.join(F.broadcast(sample), "id").groupBy("id", "toxic").agg(F.min("text").alias("text")).orderBy(F.xxhash64("id"), "id").collect()
-    return fit([r["text"] for r in rows], [r["toxic"] == 1 for r in rows], counts.get(1, 0) / total)
+    texts = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    whole = texts.join(F.broadcast(sample), "id").groupBy("id", "toxic").agg(F.min("text").alias("text"))
+    rows = _read_texts(whole).orderBy(F.xxhash64("id"), "id").collect()
+    words = [{sys.intern(w) for w in r["words"].split(" ")} - {""} for r in rows]  # a word of many texts is held once
+    return fit(words, [r["windows"] for r in rows], [r["toxic"] == 1 for r in rows], counts.get(1, 0) / total)
 
 
 _BOOKS: dict = {}

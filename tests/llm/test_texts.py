@@ -120,6 +120,17 @@ def test_held_out_accuracy_on_the_given_labels(spark):
     assert auc > 0.93 and np.mean([r.predicted == r.toxic for r in rows]) > 0.95
 
 
+def test_toxicity_learns_from_whole_texts(spark):
+    """Toxic words after 20,000 characters are learnt, and windows are counted to the end."""
+    plain = [f"plain{k}" for k in range(3000)]
+    rows = [(i, " ".join([*plain, "zorgblat"] if i % 2 else plain), i % 2) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.learn(docs.drop("toxic"), docs.drop("text"))
+    assert b"zorgblat" in model.toxic and b"plain" not in model.toxic
+    assert all((r.s > 0.5) == (r.toxic == 1) for r in toxicity.score(docs, model, "s").collect())
+    assert toxicity.read(" ".join(rows[1][1:2]))[1] == 3001 == toxicity._Scorer(model).features([rows[1][1]])[1][0]
+
+
 def test_toxicity_of_odd_documents(spark, odd, empty):
     labels = spark.createDataFrame([(1, 0), (7, 1), (8, 0), (9, None), (None, 1)], "doc_id long, toxic int")
     model = toxicity.learn(odd, labels)
