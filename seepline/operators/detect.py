@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import frames, text as tx
 from ..plans.durable import cut
 from ..rules.languages import LANGUAGES, NEVER
-from ..rules.model import REMEDIATION, Rule
+from ..rules.model import REMEDIATION, WHOLE, Rule
 
 LABEL_BITS = {"user": 1, "db": 2, "json": 4, "unser": 8, "table": 16}
 
@@ -146,16 +146,33 @@ def match_rules(lines: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         return f"(coalesce({name}, 0L) & {1 << (n % 62)}L) <> 0"
 
     verdicts = {}
+    near_file = {i: contexts[r.near] for i, r in enumerate(ordered) if r.near and r.near_frame == WHOLE}
+    absent_file = {i: contexts[r.absent] for i, r in enumerate(ordered) if r.absent and r.absent_frame == WHOLE}
     for i, r in enumerate(ordered):
-        conds = ([seen(r.near, r.near_frame)] if r.near else []) + (["not " + seen(r.absent, r.absent_frame)] if r.absent else [])
+        conds = [seen(r.near, r.near_frame)] if r.near and i not in near_file else []
+        conds += ["not " + seen(r.absent, r.absent_frame)] if r.absent and i not in absent_file else []
         if conds:
             verdicts[i] = "(" + " and ".join(conds) + ")"
-    return (
-        frames.framed(rows, ["file_id"], "line_no", aggregates)
+    if near_file or absent_file:
+        # Read once more for the files that hold a context.
+        rows = cut(rows)
+    hits = (
+        (frames.framed(rows, ["file_id"], "line_no", aggregates) if aggregates else rows)
         .withColumn("rule_no", F.explode("hits"))
         .filter(case_sql("rule_no", verdicts, "true"))
         .select("file_id", "lang", "line_no", "rule_no", "code")
     )
+    for of_rule, kept in ((near_file, "held"), (absent_file, "held is null")):
+        if of_rule:
+            bits = [f"if((mask{n // 62} & {1 << (n % 62)}L) <> 0, {n}, null)" for n in sorted(set(of_rule.values()))]
+            holders = rows.select("file_id", F.expr(f"explode(array_compact(array({', '.join(bits)})))").alias("context")).distinct()
+            asked = hits.withColumn("context", F.expr(case_sql("rule_no", {i: str(n) for i, n in of_rule.items()}, "cast(null as int)")))
+            hits = (
+                asked.join(holders.withColumn("held", F.lit(True)), ["file_id", "context"], "left")
+                .filter(case_sql("rule_no", {i: kept for i in of_rule}, "true"))
+                .select("file_id", "lang", "line_no", "rule_no", "code")
+            )
+    return hits
 
 
 def label_masks(taint: DataFrame) -> DataFrame:

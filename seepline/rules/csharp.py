@@ -1,6 +1,6 @@
 """C# and ASP.NET rules."""
 
-from .model import AUTH, CMD, CODE, DESER, LDAP, SQL, SSTI, XPATH, XXE, Rule as R, pack
+from .model import AUTH, CMD, CODE, DESER, LDAP, SQL, SSTI, WHOLE, XPATH, XXE, Rule as R, pack
 
 # Keyword sets, tools and call shapes.
 SQL_WORD = r"(?:SELECT|INSERT|UPDATE|DELETE|DROP|EXEC|EXECUTE|FROM|WHERE|INTO)"
@@ -58,7 +58,7 @@ RULES = pack(
     R("cs-xslt", XXE, r"XslCompiledTransform", "Style sheet engine", "HIGH/MEDIUM", near=r"XmlUrlResolver|\.Load\s*\(", near_frame=(-3, 8), hit="var t{a} = new XslCompiledTransform();\nt{a}.Load(p);"),
     R("cs-url-resolver", XXE, r"XmlUrlResolver", "Resolver that follows addresses", "HIGH/MEDIUM", unless=r"XslCompiledTransform|XsltSettings", near=r"XmlDocument|XmlReader|LoadXml|XmlResolver\s*=", near_frame=(-5, 5), hit="doc.XmlResolver = new XmlUrlResolver();"),
     R("cs-machine-key", DESER, r"(?i)machineKey.*validation\s*=\s*[\"']?None", "Machine key validation is off", "CRITICAL/HIGH", hit='<machineKey validation="None" />'),
-    R("cs-viewstate-user", AUTH, r"(?i)EnableViewState\s*=\s*(?:true|\"true\")", "View state without a user key", "MEDIUM/MEDIUM", absent=r"(?i)ViewStateUserKey\s*=", absent_frame=(-2000, 2000), hit="EnableViewState = true;"),
+    R("cs-viewstate-user", AUTH, r"(?i)EnableViewState\s*=\s*(?:true|\"true\")", "View state without a user key", "MEDIUM/MEDIUM", absent=r"(?i)ViewStateUserKey\s*=", absent_frame=WHOLE, hit="EnableViewState = true;"),
     R("cs-type-from-request", DESER, r"Type\.GetType\s*\(\s*\w+\s*\)", "Type from user data reaches a decoder", "CRITICAL/HIGH", label="user", near=r"XmlSerializer|Deserialize|Activator\.CreateInstance|JsonConvert", near_frame=(0, 10), hit="var k{a} = Type.GetType(v{a});\nvar o{a} = new XmlSerializer(k{a});"),
     R("cs-ldap", LDAP, r"DirectorySearcher|\.Filter\s*=|DirectoryEntry\s*\(", "Directory filter with user data", "HIGH/HIGH", label="user", hit='s.Filter = "(u=" + v{a};', miss='s.Filter = "(u=x)";'),
     R("cs-xpath", XPATH, r"\.(?:SelectNodes|SelectSingleNode|XPathSelectElements?|XPathEvaluate|Evaluate|Compile)\s*\(", "XPath with user data", "CRITICAL/HIGH", label="user,db", hit='doc.SelectNodes("//u[" + v{a});', miss='doc.SelectNodes("//u");'),

@@ -1,6 +1,6 @@
 """Go rules."""
 
-from .model import CMD, CODE, DESER, LDAP, NOSQL, REDIR, SQL, SSTI, XSS, Rule as R, pack
+from .model import CMD, CODE, DESER, LDAP, NOSQL, REDIR, SQL, SSTI, WHOLE, XSS, Rule as R, pack
 
 # Driver, query and collection methods.
 QUERY = r"\.(?:Query|QueryContext|QueryRow|QueryRowContext|Exec|ExecContext|Prepare|PrepareContext|Queryx|QueryRowx|NamedQuery|NamedExec|Raw)\s*\("
@@ -21,7 +21,7 @@ RULES = pack(
     R("go-start-process", CMD, r"\b(?:os\.StartProcess|syscall\.Exec|syscall\.ForkExec)\s*\(", "Process from user data", "CRITICAL/HIGH", label="user", hit="os.StartProcess(v{a}, nil, attr)", miss='os.StartProcess("/bin/ls", nil, attr)'),
     R("go-template", SSTI, r"template\.New\s*\(.*\)\.Parse\s*\(|\bt(?:mpl|emplate)?\w*\.Parse\s*\(", "Template text from user data", "HIGH/HIGH", label="user", unless=r"ParseFiles|ParseGlob", hit='template.New("x").Parse(v{a})', miss='template.New("x").ParseFiles(v{a})'),
     R("go-template-raw", XSS, r"\btemplate\.(?:HTML|JS|URL|CSS|HTMLAttr)\s*\(", "User data marked as safe markup", "HIGH/HIGH", label="user", unless=ENCODED, hit="out{a} := template.HTML(v{a})", miss='out{a} := template.HTML("<b>")'),
-    R("go-text-template", XSS, r"text/template", "Text templates used for pages", "HIGH/HIGH", near=r"http\.ResponseWriter|\.Execute\s*\(\s*w\b", near_frame=(0, 60), hit='import "text/template"\nt{a}.Execute(w, d)', miss='import "html/template"'),
+    R("go-text-template", XSS, r"text/template", "Text templates used for pages", "HIGH/HIGH", near=r"http\.ResponseWriter|\.Execute\s*\(\s*w\b", near_frame=WHOLE, hit='import "text/template"\nt{a}.Execute(w, d)', miss='import "html/template"'),
     R("go-mongo", NOSQL, MONGO, "Query document with user data", "CRITICAL/HIGH", label="user", unless=r"bson\.[MD]\{\s*\{?\s*\"\w+\"\s*[:,]\s*\"[^\"]*\"", hit='collection.FindOne(ctx, bson.M{"n": v{a}})', miss='collection.FindOne(ctx, bson.M{"n": "x"})'),
     R("go-fprint", XSS, r"\bfmt\.Fprint(?:f|ln)?\s*\(\s*(?:[wW]\b|\w*[rR]esponse[wW]riter)", "Response with user data", "HIGH/HIGH", label="user", unless=ENCODED, hit='fmt.Fprintf(w, "<p>%s", v{a})', miss='fmt.Fprintf(w, "ok")'),
     R("go-write", XSS, r"\b(?:[wW]|\w*[rR]esponse[wW]riter)\.Write(?:String)?\s*\(|\bio\.WriteString\s*\(\s*[wW]\b", "Response with user data", "HIGH/HIGH", label="user", unless=ENCODED, hit="w.Write([]byte(v{a}))", miss='w.Write([]byte("ok"))'),

@@ -24,13 +24,17 @@ PROTO = "PROTOTYPE_POLLUTION"
 DEP = "VULNERABLE_DEPENDENCY"
 
 
+# The frame of a condition on the whole file; wider than any file has lines.
+WHOLE = (-(10**9), 10**9)
+
+
 @dataclass(frozen=True)
 class Rule:
     """One detector row.
 
     ``pattern`` must match the line and ``unless`` must not. ``near`` must match some
     line of ``near_frame`` (offsets from the hit, inclusive) and ``absent`` must match
-    none of ``absent_frame``. ``label`` names the taint the line must carry: one or more
+    none of ``absent_frame``; with the frame WHOLE they look at all lines of the file. ``label`` names the taint the line must carry: one or more
     of user/db/json/unser/table separated by commas, or None for a pure pattern.
     With a label, ``grade`` holds for tainted hits and ``plain`` for the others;
     ``plain=None`` drops them. Grades read ``SEVERITY/CONFIDENCE``.

@@ -53,6 +53,22 @@ def test_rule_samples(spark, lang):
     assert not wrong
 
 
+def test_conditions_on_the_whole_file(spark):
+    """The other pattern stands thousands of lines away, in other blocks, before or after."""
+    far = "\n" * 9000
+    use, key = "t1.Execute(w, d)", "ViewStateUserKey = Session.SessionID;"
+    imported, view = 'import "text/template"', "EnableViewState = true;"
+    texts = [
+        ("go", imported + far + use), ("go", use + far + imported), ("go", imported + far), ("go", use),
+        ("csharp", view + far + key), ("csharp", key + far + view), ("csharp", view + far), ("csharp", key),
+    ]
+    rows = [(n, f"f{n}", lang, text) for n, (lang, text) in enumerate(texts)]
+    lines = facts.explode_lines(spark.createDataFrame(rows, "file_id long, path string, lang string, content string"))
+    hits = [h for lang in ("go", "csharp") for h in scan.scan_language(lines, lang).collect()]
+    found = {(h.file_id, h.line_no) for h in hits if h.rule_id in ("go-text-template", "cs-viewstate-user")}
+    assert found == {(0, 1), (1, 9001), (6, 1)}
+
+
 def test_rule_ids_are_unique_and_sampled():
     ids = [r.rule_id for r in all_rules()]
     assert len(ids) == len(set(ids))
