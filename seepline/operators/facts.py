@@ -13,7 +13,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import frames, text as tx
-from ..rules.languages import CATEGORY_SANITIZERS, LANGUAGES
+from ..rules.languages import CATEGORY_SANITIZERS, LANGUAGES, QUOTED
+from . import brackets
 
 LINE_KEYS = ("file_id", "lang", "scope_id", "line_no")
 
@@ -107,70 +108,24 @@ def extract_bindings(lines: DataFrame, langs: Iterable[str] | None = None) -> Da
 
 
 CALL = r"([A-Za-z_$][\w$.]*(?:->\w+)*)\s*\("
+# Words before a bracket that call nothing.
+CONTROL = ("if", "for", "while", "switch", "return", "function", "catch", "foreach")
 
 
-def extract_calls(lines: DataFrame, max_depth: int = 3) -> DataFrame:
-    """Calls with receiver, callee, argument text and top-level arguments.
+def extract_calls(lines: DataFrame) -> DataFrame:
+    """Calls with receiver, callee and top-level arguments; nested calls ``f(g(x), y)`` give one row each.
 
-    Arguments are read by bracket balance, so nested calls ``f(g(x), y)`` give one row
-    per call with its own argument list. Calls whose brackets close on another line
-    need ``assemble_statements`` first.
+    Arguments are read by bracket balance, linear in the length of a line, literals blanked. Calls whose brackets close on
+    another line need ``assemble_statements`` first.
     """
-    text = F.col("text")
-    # Blank literals by same-length filler to keep brackets in strings from counting.
-    flat = F.regexp_replace(text, r'"[^"]*"' + r"|'[^']*'", '""')
-    heads = F.regexp_extract_all(flat, F.lit(CALL), F.lit(0))
-    rows = (
-        with_scope(lines)
-        .filter(text.contains("("))
-        .withColumn("flat", flat)
-        .select(*LINE_KEYS, "flat", F.posexplode(heads).alias("call_no", "head"))
-    )
-    # Text after the n-th head: the pieces between heads, joined again from n on.
-    pieces = F.split("flat", CALL)
-    tail = F.array_join(
-        F.transform(
-            F.sequence(F.col("call_no") + 1, F.size(pieces) - 1),
-            lambda i: F.concat(
-                F.when(i == F.col("call_no") + 1, F.lit("")).otherwise(
-                    F.element_at(F.regexp_extract_all("flat", F.lit(CALL), F.lit(0)), i.cast("int"))
-                ),
-                F.get(pieces, i.cast("int")),
-            ),
-        ),
-        "",
-    )
-    state = "struct<depth:int,arg:string,args:array<string>>"
-    start = F.struct(F.lit(1).alias("depth"), F.lit("").alias("arg"), F.array().cast("array<string>").alias("args")).cast(state)
-
-    def step(acc: Column, ch: Column) -> Column:
-        opened = ch.isin("(", "[", "{")
-        closed = ch.isin(")", "]", "}")
-        depth = acc["depth"] + F.when(opened, 1).when(closed, -1).otherwise(0)
-        done = acc["depth"] <= 0
-        ends = (closed & (depth == 0)) | ((ch == ",") & (acc["depth"] == 1))
-        return F.when(done, acc).otherwise(
-            F.struct(
-                depth.alias("depth"),
-                F.when(ends, F.lit("")).otherwise(F.concat(acc["arg"], ch)).alias("arg"),
-                F.when(ends, F.concat(acc["args"], F.array(F.trim(acc["arg"])))).otherwise(acc["args"]).alias("args"),
-            )
-        ).cast(state)
-
-    name = F.regexp_replace("head", r"\s*\($", "")
-    return (
-        rows.withColumn("args", F.aggregate(F.split(tail, ""), start, step)["args"])
-        .withColumn("args", F.filter("args", lambda a: a != ""))
-        .withColumn("name", name)
-        .select(
-            *LINE_KEYS,
-            "call_no",
-            F.regexp_extract("name", r"^(.*?)(?:\.|->)?(\w+)$", 1).alias("receiver"),
-            F.regexp_extract("name", r"([\w$]+)$", 1).alias("callee"),
-            "args",
-        )
-        .filter(~F.col("callee").isin("if", "for", "while", "switch", "return", "function", "catch", "foreach"))
-    )
+    found = brackets.calls(with_scope(lines).filter(F.col("text").contains("(")), LINE_KEYS, "text")
+    return found.select(
+        *LINE_KEYS,
+        "call_no",
+        F.regexp_extract("name", r"^(.*?)(?:\.|->)?(\w+)$", 1).alias("receiver"),
+        F.regexp_extract("name", r"([\w$]+)$", 1).alias("callee"),
+        F.transform("args", lambda a: F.regexp_replace(a, QUOTED, '""')).alias("args"),
+    ).filter(~F.col("callee").isin(*CONTROL))
 
 
 def assemble_statements(lines: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import text as tx
 from ..plans.durable import cut
 from ..rules.languages import ACCESS, LABEL_SEEDS, LANGUAGES
-from . import facts
+from . import brackets, facts
 
 KEY = ["file_id", "scope_id", "var", "label"]
 
@@ -277,12 +277,13 @@ def call_assignments(assigns: DataFrame, functions: DataFrame) -> DataFrame:
     """Assignments from a call of a function of the same file, one row per argument token:
     (file, scope, line, lhs, callee, arg_pos, src)."""
     names = functions.select("file_id", F.col("name").alias("callee")).distinct()
-    args = F.split(F.regexp_extract("rhs", r"^\s*(?:await\s+)?[$\w.]*?(\w+)\s*\((.*)\)\s*$", 2), ",")
-    calls = (
+    own = (
         assigns.withColumn("callee", F.regexp_extract("rhs", r"^\s*(?:await\s+)?[$\w.]*?(\w+)\s*\((.*)\)\s*$", 1))
         .filter("callee <> ''").join(names, ["file_id", "callee"], "left_semi")
-        .select("file_id", "lang", "scope_id", "line_no", "lhs", "callee", F.posexplode(args).alias("arg_pos", "arg"))
     )
+    # commas within the brackets of an argument don't part it
+    found = brackets.whole_calls(own, ["file_id", "lang", "scope_id", "line_no", "lhs", "callee"], "rhs")
+    calls = found.select("file_id", "lang", "scope_id", "line_no", "lhs", "callee", F.posexplode("args").alias("arg_pos", "arg"))
     return facts.explode_tokens(calls, "arg", None, "src").drop("arg", "lang")
 
 

@@ -24,4 +24,4 @@ def test_query_equals_sql(spark, con, name):
 
 
 def test_every_query_but_nested_calls_has_sql():
-    assert set(QUERIES) - set(ORACLES) == {"extract_calls"}
+    assert set(QUERIES) <= set(ORACLES) | {"extract_calls"}

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seepline.functions import text as tx
-from seepline.operators import facts, findings as fnd, joins
-from seepline.rules.languages import EXTENSIONS
+from seepline.operators import brackets, facts, findings as fnd, joins
+from seepline.rules.languages import EXTENSIONS, QUOTED
 from seepline.sources import advisories, config, files as src, reports
 
 from . import sqlfacts as sf
@@ -223,7 +223,26 @@ def safe_object_literal(spark, d):
     return lines(spark, d, ("javascript",)).filter(F.col("text").contains(".find(")).select("file_id", "line_no", joins.safe_object(F.col("text")).alias("safe"))
 
 
-@query("extract_calls")
+PIECE = quote(brackets.PIECE.replace("++", "+").replace("*+", "*"))
+BLANKED = quote(QUOTED.replace("*+", "*"))
+CALLS_SQL = CW + f""", pa as (select file_id, line_no, regexp_extract_all(text, {PIECE}, 1) pl, regexp_extract_all(text, {PIECE}, 2) mk from code where contains(text, '(') and lang <> 'webconfig'),
+pb as (select file_id, line_no, unnest(range(len(mk))) as at_no, unnest(pl) plain, unnest(mk) mark from pa),
+pc as (select *, mark in ('(', '[', '{{') opens, mark in (')', ']', '}}') closes, case when mark = '(' then nullif(regexp_extract(plain, {quote(brackets.HEAD)}, 1), '') end as name from pb where mark <> ''),
+pd as (select *, sum(case when opens then 1 when closes then -1 else 0 end) over (partition by file_id, line_no order by at_no) + case when closes then 1 else 0 end lv,
+  count(name) over (partition by file_id, line_no order by at_no) - 1 call_no from pc),
+pe as (select *, max(case when opens then at_no end) over (partition by file_id, line_no, lv order by at_no rows unbounded preceding) own from pd),
+pf as (select *, lag(at_no) over (partition by file_id, line_no, own order by at_no) prev from pe),
+ar as (select p.file_id, p.line_no, p.own, p.at_no, trim(coalesce(string_agg(x.plain || x.mark, '' order by x.at_no), '') || any_value(p.plain), ' ') arg
+  from pf p left join pf x on x.file_id = p.file_id and x.line_no = p.line_no and x.at_no > p.prev and x.at_no < p.at_no where p.own is not null and p.prev is not null group by all),
+ag as (select file_id, line_no, own, count(*) n_args, string_agg(regexp_replace(arg, {BLANKED}, '""', 'g'), ' | ' order by at_no) args from ar where arg <> '' group by all)"""
+
+
+@query(
+    "extract_calls",
+    CALLS_SQL + r""" select h.file_id, h.line_no, call_no, regexp_extract(name, '^(.*?)(?:\.|->)?(\w+)$', 1) as receiver, regexp_extract(name, '([\w$]+)$', 1) as callee,
+ coalesce(n_args, 0)::int as n_args, coalesce(args, '') as args from pf h left join ag on ag.file_id = h.file_id and ag.line_no = h.line_no and ag.own = h.at_no
+ where name is not null and regexp_extract(name, '([\w$]+)$', 1) not in (""" + ",".join(quote(x) for x in facts.CONTROL) + ")",
+)
 def extract_calls(spark, d):
     return facts.extract_calls(code(spark, d)).select(
         "file_id", "line_no", "call_no", "receiver", "callee", F.size("args").alias("n_args"), F.array_join("args", " | ").alias("args")
