@@ -32,16 +32,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import mix, range_hashes
-from .rows import slices
+from .rows import CHARACTERS, slices
 from .store import Written, release
 
-#: Classes that hold a token before it is charged; tokens of a block.
-HEAVY, MASS = 32, 1 << 18
+#: Classes that hold a token before it is charged; shingles and rows of a block; tokens that a task works on at once.
+HEAVY, MASS, MEMBERS, TOKENS = 32, 1 << 18, 512, 1 << 20
 _C = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[*range(9, 14), 32]] = True
@@ -155,25 +155,49 @@ def _partnered(counted: DataFrame, num: int, den: int) -> DataFrame:
 
 def _asked(counted: DataFrame, num: int, den: int) -> DataFrame:
     """cid, n, asked, rare (places of the longest prefix that no other class holds), held (tokens of the prefix that another class holds) and tokens, those of them that index a class. counted: cid, n, at."""
-    lists = pa.list_(pa.int64())
-    schema = pa.schema([("cid", pa.int64()), ("n", pa.int64()), ("asked", pa.int64()), ("rare", pa.int64()), ("held", lists), ("tokens", lists)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for cid, n, at in zip(*(batch.column(c).to_pylist() for c in ("cid", "n", "at")), strict=True):
-                at.sort(key=lambda x: x["place"])
-                asked, hot = choose(n, [x["place"] for x in at if x["df"] > HEAVY], num, den)
-                base = prefix_base(n, num, den)
-                held = [x for x in at if x["place"] < base + asked - 1]
-                own = [x["token"] for x in held if hot or x["df"] <= HEAVY]
-                rare = base + most_matches(n, num, den) - 1 - len(at)
-                rows.append({"cid": cid, "n": n, "asked": asked, "rare": rare, "held": [x["token"] for x in held], "tokens": own})
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            for part in _by_tokens(batch, "at"):
+                yield _choices(part, num, den)
 
     return counted.mapInArrow(run, "cid long, n long, asked long, rare long, held array<long>, tokens array<long>")
 
 
+def _by_tokens(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows that hold at most TOKENS list members together (a longer row is alone)."""
+    ends = np.cumsum(batch.column(column).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(batch):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + TOKENS, "right")))
+        yield batch.slice(a, b - a)
+        a = b
+
+
+def _lists(values: np.ndarray, rows: np.ndarray, n: int) -> pa.ListArray:
+    """A list for each of n rows. rows: the row of each value, ascending."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))]), pa.int32()), pa.array(values, pa.int64()))
+
+
+def _choices(batch: pa.RecordBatch, num: int, den: int) -> pa.RecordBatch:
+    """What `_asked` gives for some rows."""
+    n, at = batch.column("n").to_numpy(), batch.column("at")
+    sizes = at.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(batch)), sizes)
+    flat = at.flatten()
+    place, token, df = (flat.field(c).to_numpy() for c in ("place", "token", "df"))
+    order = np.lexsort((place, row))
+    place, token, heavy = place[order], token[order], df[order] > HEAVY
+    ends = np.cumsum(sizes)
+    chosen = [choose(k, place[a:b][heavy[a:b]].tolist(), num, den) for k, a, b in zip(n.tolist(), (ends - sizes).tolist(), ends.tolist(), strict=True)]
+    asked, hot = np.array([c[0] for c in chosen], np.int64), np.array([c[1] for c in chosen], bool)
+    base = n - -(-num * n // den) + 1
+    held = place < (base + asked - 1)[row]
+    index = held & (hot[row] | ~heavy)
+    columns = [batch.column("cid"), batch.column("n"), pa.array(asked), pa.array(base + 5 + base // 2 - 1 - sizes), _lists(token[held], row[held], len(batch)), _lists(token[index], row[index], len(batch))]
+    return pa.RecordBatch.from_arrays(columns, names=["cid", "n", "asked", "rare", "held", "tokens"])
+
+
 def _near(shared: np.ndarray, x: int, n: np.ndarray, asked: np.ndarray, num: int, den: int) -> np.ndarray:
     """Which members share as many prefix tokens with x as both ask for, and are of a size that can be linked."""
     return (shared >= np.minimum(asked, asked[x])) & (den * np.minimum(n, n[x]) >= num * np.maximum(n, n[x]))
@@ -184,25 +208,24 @@ def _paired(dealt: DataFrame, num: int, den: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (family, _), rows in _groups(batches, ["family", "block"]):
-            order = _once(rows)
-            n, asked, sides = (np.array([rows[c][k] for k in order]) for c in ("n", "asked", "side"))
-            component = np.array([rows["component"][k] for k in order])
-            held = [np.array(rows["held"][k], np.int64) for k in order]
-            tokens, members = np.concatenate(held), np.repeat(np.arange(len(order)), [len(h) for h in held])
+            rows = _once(rows)
+            n, asked, sides, component, cid = (rows.column(c).to_numpy() for c in ("n", "asked", "side", "component", "cid"))
+            lists = rows.column("held").combine_chunks()
+            held = np.split(lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))[:-1])
+            tokens, members = np.concatenate(held), np.repeat(np.arange(len(cid)), [len(h) for h in held])
             by_token = np.argsort(tokens, kind="stable")
             posted, tokens = members[by_token], tokens[by_token]
-            kept = np.zeros(len(order), bool)
+            kept = np.zeros(len(cid), bool)
             for x in np.flatnonzero(sides == 0):
                 if kept[x] and sides.max() == 0:
                     continue
                 lo, hi = np.searchsorted(tokens, held[x]), np.searchsorted(tokens, held[x], "right")
                 near = np.concatenate([posted[:0], *(posted[a:b] for a, b in zip(lo, hi, strict=True))])
-                able = _near(np.bincount(near, minlength=len(order)), x, n, asked, num, den) & (component != component[x])
+                able = _near(np.bincount(near, minlength=len(cid)), x, n, asked, num, den) & (component != component[x])
                 if able.any():
                     kept[x] = True
                     kept |= able
-            ids = pa.array([rows["cid"][order[k]] for k in np.flatnonzero(kept)], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([family] * len(ids), pa.int64()), ids], names=["family", "cid"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(kept.sum(), family)), pa.array(cid[kept])], names=["family", "cid"])
 
     placed = dealt.repartition("family", "block").sortWithinPartitions("family", "block")
     return placed.mapInArrow(run, "family long, cid long").distinct()
@@ -256,52 +279,69 @@ def block_links(sets: list[np.ndarray], asked: np.ndarray, sides: np.ndarray, co
     return links
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, dict[str, list]]]:
-    """Consecutive rows with equal keys."""
-    now, rows = None, {}
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """Consecutive rows with equal keys (numbers)."""
+    now, parts = None, []
     for batch in batches:
-        columns = {c: batch.column(c).to_pylist() for c in batch.schema.names}
-        for k, key in enumerate(zip(*(columns[c] for c in keys), strict=True)):
+        columns = [batch.column(c).to_numpy() for c in keys]
+        new = np.ones(len(batch), bool)
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+        starts = np.flatnonzero(new).tolist()
+        for a, b in zip(starts, [*starts[1:], len(batch)], strict=True):
+            key = tuple(int(c[a]) for c in columns)
             if key != now:
-                if rows:
-                    yield now, rows
-                now, rows = key, {c: [] for c in columns}
-            for c, values in columns.items():
-                rows[c].append(values[k])
-    if rows:
-        yield now, rows
-
-
-def _once(rows: dict[str, list]) -> list[int]:
-    """Places of the rows of a block, each class once: as one that asks (side 0), if it does."""
-    first: dict[int, int] = {}
-    for k, (cid, side) in enumerate(zip(rows["cid"], rows["side"], strict=True)):
-        if cid not in first or side < rows["side"][first[cid]]:
-            first[cid] = k
-    return [first[c] for c in sorted(first)]
+                if parts:
+                    yield now, pa.Table.from_batches(parts)
+                now, parts = key, []
+            parts.append(batch.slice(a, b - a))
+    if parts:
+        yield now, pa.Table.from_batches(parts)
+
+
+def _once(rows: pa.Table) -> pa.Table:
+    """The rows of a block, each class once, by its number: as one that asks (side 0), if it does."""
+    cid = rows.column("cid").to_numpy()
+    order = np.lexsort((rows.column("side").to_numpy(), cid))
+    _, first = np.unique(cid[order], return_index=True)
+    return rows.take(pa.array(order[first]))
+
+
+def _unpacked(packed: Iterator[bytes], size: int) -> list[np.ndarray]:
+    """The shingles of compressed texts, of which few are held at once."""
+    unpacker = zstandard.ZstdDecompressor()
+    sets, texts, characters = [], [], 0
+    for p in packed:
+        texts.append(unpacker.decompress(p).decode("utf-8", "surrogatepass"))
+        characters += len(texts[-1])
+        if characters > CHARACTERS:
+            sets += shingle_sets(texts, size)
+            texts, characters = [], 0
+    return sets + shingle_sets(texts, size) if texts else sets
 
 
 def _compare(dealt: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """Links (a, b). dealt: family, block, side, cid, asked, component, text (compressed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpacker = zstandard.ZstdDecompressor()
         for _, rows in _groups(batches, ["family", "block"]):
-            order = _once(rows)
-            texts = [unpacker.decompress(rows["text"][k]).decode("utf-8", "surrogatepass") for k in order]
-            sets = [s for a, b in slices(texts) for s in shingle_sets(texts[a:b], size)]
-            asked, sides, component = (np.array([rows[c][k] for k in order]) for c in ("asked", "side", "component"))
-            ids = [rows["cid"][k] for k in order]
-            links = block_links(sets, asked, sides, component, num, den)
-            yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x, _ in links], pa.int64()), pa.array([ids[y] for _, y in links], pa.int64())], names=["a", "b"])
+            rows = _once(rows)
+            sets = _unpacked((t.as_py() for t in rows.column("text")), size)
+            asked, sides, component, cid = (rows.column(c).to_numpy() for c in ("asked", "side", "component", "cid"))
+            links = np.array(block_links(sets, asked, sides, component, num, den), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(cid[links[:, 0]]), pa.array(cid[links[:, 1]])], names=["a", "b"])
 
     placed = dealt.repartition("family", "block").sortWithinPartitions("family", "block")
     return placed.mapInArrow(run, "a long, b long")
 
 
+def _blocks() -> Column:
+    """Blocks that some classes (n: their shingles) take, of bounded mass and number."""
+    return F.greatest(F.ceil(F.sum("n") / MASS), F.ceil(F.count("*") / MEMBERS))
+
+
 def _massed(families: DataFrame) -> DataFrame:
     """family, cid, n, other columns: those of more than one member, with blocks, the blocks of bounded mass that a family takes."""
-    mass = families.groupBy("family").agg(F.ceil(F.sum("n") / MASS).alias("blocks"), F.count("*").alias("members")).where("members > 1")
+    mass = families.groupBy("family").agg(_blocks().alias("blocks"), F.count("*").alias("members")).where("members > 1")
     return families.join(mass.drop("members"), "family")
 
 
@@ -323,7 +363,7 @@ def _beyond_main(massed: DataFrame) -> DataFrame:
     parts = large.groupBy("family", "component").agg(F.count("*").alias("members"))
     main = parts.groupBy("family").agg(F.max(F.struct("members", "component")).alias("main"))
     large = large.join(main, "family").withColumn("asks", F.col("component") != F.col("main.component")).drop("main")
-    rows = large.where("asks").groupBy("family").agg(F.ceil(F.sum("n") / MASS).alias("ask_blocks"))
+    rows = large.where("asks").groupBy("family").agg(_blocks().alias("ask_blocks"))
     placed = large.join(rows, "family").withColumn("column", F.pmod(F.xxhash64("cid"), F.col("blocks")))
     across = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda c: F.pmod(F.xxhash64("cid"), F.col("ask_blocks")) * F.col("blocks") + c)
     down = F.transform(F.sequence(F.lit(0).cast("long"), F.col("ask_blocks") - 1), lambda r: r * F.col("blocks") + F.col("column"))

@@ -4,8 +4,10 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -185,9 +187,10 @@ def families(seed):
     return rows
 
 
-@pytest.mark.parametrize("size,num,mass,heavy", [(3, 90, 1 << 18, 32), (5, 80, 3000, 4), (3, 90, 1500, 2), (1, 80, 2000, 3)])
-def test_near_duplicates_against_all_pairs(spark, monkeypatch, size, num, mass, heavy):
+@pytest.mark.parametrize("size,num,mass,members,heavy", [(3, 90, 1 << 18, 512, 32), (5, 80, 3000, 512, 4), (3, 90, 1500, 9, 2), (1, 80, 1 << 18, 7, 3)])
+def test_near_duplicates_against_all_pairs(spark, monkeypatch, size, num, mass, members, heavy):
     monkeypatch.setattr(jaccard, "MASS", mass)
+    monkeypatch.setattr(jaccard, "MEMBERS", members)
     monkeypatch.setattr(jaccard, "HEAVY", heavy)
     rows = families(size + heavy)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
@@ -195,6 +198,44 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch, size, num, mass,
     assert got == brute_components(rows, size, num)
 
 
+def test_choices_of_many_shared_tokens_stay_within_memory():
+    rows, tokens = 2000, 6000
+    flat = pa.StructArray.from_arrays([pa.array(np.tile(np.arange(tokens, dtype=np.int32), rows)), pa.array(np.arange(rows * tokens)), pa.array(np.full(rows * tokens, 2))], ["place", "token", "df"])
+    at = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * tokens), flat)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(rows)), pa.array(np.full(rows, 20_000)), at], names=["cid", "n", "at"])
+    tracemalloc.start()
+    n = held = 0
+    for part in jaccard._by_tokens(batch, "at"):
+        made = jaccard._choices(part, 80, 100)
+        n, held = n + len(made), held + len(made.column("held").flatten())
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == rows and held == rows * 4001 and most < 150e6
+
+
+@pytest.mark.parametrize("heavy", [2, 5])
+def test_choices_against_each_row(monkeypatch, heavy):
+    monkeypatch.setattr(jaccard, "HEAVY", heavy)
+    monkeypatch.setattr(jaccard, "TOKENS", 50)
+    r = random.Random(heavy)
+    rows = []
+    for cid in range(200):
+        n = r.randint(1, 120)
+        longest = min(n, jaccard.prefix_base(n, 80, 100) + jaccard.most_matches(n, 80, 100) - 1)
+        places = r.sample(range(longest), r.randint(0, longest))
+        rows.append({"cid": cid, "n": n, "at": [{"place": p, "token": r.randrange(2**48), "df": r.randint(2, 8)} for p in places]})
+    batch = pa.RecordBatch.from_pylist(rows, schema=pa.schema([("cid", pa.int64()), ("n", pa.int64()), ("at", pa.list_(pa.struct([("place", pa.int32()), ("token", pa.int64()), ("df", pa.int64())])))]))
+    made = [x for part in jaccard._by_tokens(batch, "at") for x in jaccard._choices(part, 80, 100).to_pylist()]
+    for row, got in zip(rows, made, strict=True):
+        at = sorted(row["at"], key=lambda x: x["place"])
+        asked, hot = jaccard.choose(row["n"], [x["place"] for x in at if x["df"] > heavy], 80, 100)
+        base = jaccard.prefix_base(row["n"], 80, 100)
+        held = [x for x in at if x["place"] < base + asked - 1]
+        assert (got["cid"], got["asked"], got["held"]) == (row["cid"], asked, [x["token"] for x in held])
+        assert got["tokens"] == [x["token"] for x in held if hot or x["df"] <= heavy]
+        assert got["rare"] == base + jaccard.most_matches(row["n"], 80, 100) - 1 - len(at)
+
+
 def test_near_duplicates_of_odd_documents(odd, empty):
     rows = [(i, t) for i, t, *_ in odd_rows()]
     got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.near_duplicates(odd, 3, 90, 100).collect())
