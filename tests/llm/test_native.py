@@ -145,3 +145,21 @@ def test_top_k_of_huge_components(spark):
     df = spark.createDataFrame([(0, [1e150, 2.0]), (1, [1e150, 3.0]), (2, [-1e150, 0.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<double>")
     most = 2**63 - 1
     assert [tuple(r) for r in topk.top_k(df, F.col("vec_id") == 0).orderBy("rank").collect()] == [(0, 1, 1, most), (0, 2, 3, most), (0, 3, 2, -most - 1)]
+
+
+def test_top_k_of_repeated_queries(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ROWS", 2)
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 1.0]), *((k, [k / 8, 1 - k / 8]) for k in range(1, 9)), (9, [1.0, 0.0]), (9, [1.0, 0.0])]
+    got = sorted(tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect())
+    first = [(0, 1, 8, 65536), (0, 2, 9, 65536), (0, 3, 9, 65536), (0, 4, 7, 57344), (0, 5, 6, 49152)]
+    second = [(0, 1, 1, 57344), (0, 2, 2, 49152), (0, 3, 3, 40960), (0, 4, 4, 32768), (0, 5, 5, 24576)]
+    assert got == sorted(first + second)
+
+
+def test_top_k_sql_with_repeated_queries(spark, tmp_path):
+    rows = [(50, [0.5, 0.25]), (50, [0.5, 0.25]), (0, [0.1, 0.9]), *((k, [k / 40, 0.3]) for k in range(1, 12)), (3, [3 / 40, 0.3])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    df.write.parquet(f"{tmp_path}/embeddings")
+    base = __import__("duckdb").connect()
+    base.sql(f"create view embeddings as select * from '{tmp_path}/embeddings/*.parquet'")
+    assert sorted(base.sql(topk.SQL).fetchall()) == sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0).select("query_id", "rank", "vec_id", "score").collect())
