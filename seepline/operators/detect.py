@@ -8,7 +8,7 @@ patterns travel as bits of one long, tainted labels likewise, so every shuffle i
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -184,10 +184,14 @@ def label_masks(taint: DataFrame) -> DataFrame:
 
 
 def join_taint(
-    hits: DataFrame, rules: Sequence[Rule], taint: DataFrame, sanitized: DataFrame | None = None
+    hits: DataFrame, rules: Sequence[Rule], taint: DataFrame, sanitized: DataFrame | None = None,
+    resolve: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Add ``tainted``: does the hit line use a variable with a label its rule asks for?
 
+    Hits with a scope_id look in that scope, others in the file's; ``resolve`` may put each used variable (file_id,
+    scope_id, var) into the scope that owns it.
+
     Identifiers of the line meet tainted variables in an equi-join; variables cleared for
     the rule's category drop out; a source expression on the line itself counts as user.
     """
@@ -209,8 +213,9 @@ def join_taint(
         names = F.when(lang == "php", F.array_append(names, F.lit("*"))).otherwise(names)
     uses = (
         hits.filter("wanted <> 0")
-        .select("file_id", F.lit(0).alias("scope_id"), "line_no", "rule_no", "wanted", F.explode(names).alias("var"))
+        .select("file_id", (F.col("scope_id") if "scope_id" in hits.columns else F.lit(0)).alias("scope_id"), "line_no", "rule_no", "wanted", F.explode(names).alias("var"))
     )
+    uses = resolve(uses) if resolve else uses
     used = uses.join(label_masks(taint), ["file_id", "scope_id", "var"]).filter("(wanted & labels) <> 0")
     if sanitized is not None:
         used = used.withColumn("category", category).join(sanitized, ["file_id", "scope_id", "var", "category"], "left_anti")

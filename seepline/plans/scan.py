@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import detect as det, facts, findings as fnd, joins, taint as tnt
+from ..operators import detect as det, facts, findings as fnd, joins, scopes, taint as tnt
 from ..rules import rules_for
 from ..rules.model import Rule
 from .durable import cut
@@ -77,3 +77,55 @@ def scan(files: DataFrame, rules: Sequence[Rule], keyword: str = "nosec") -> Dat
     else:
         hits = det.detect(lines, rules)
     return fnd.dedup_findings(fnd.suppress_inline(hits, keyword))
+
+
+def scan_functions(files: DataFrame, rules: Sequence[Rule], keyword: str = "nosec") -> DataFrame:
+    """Findings with taint by function: variables of the same name in different functions are different ones.
+
+    Functions nest; a variable belongs to the innermost function around its use in which it is assigned or a parameter,
+    so what an inner function captures stays tainted. Calls of the file's own functions carry taint by summaries
+    of their parameters. An assignment to a captured variable counts as one of its own.
+    """
+    labelled = sorted({r.lang for r in rules if r.label})
+    lines = facts.explode_lines(files)
+    code = cut(facts.drop_comments(lines.filter(F.col("lang").isin(*labelled)), labelled))
+    found = cut(scopes.functions(code))
+    scoped = cut(scopes.assign(code, found))
+    assigns = cut(facts.explode_targets(facts.extract_assignments(scoped, labelled)))
+    params = cut(facts.explode_parameters(found, labelled))
+    summaries = tnt.summarize_functions(scoped, found)
+    calls = cut(tnt.call_assignments(assigns, found))
+    own_calls = calls.select("file_id", "scope_id", "line_no", F.col("lhs").alias("dst")).distinct()
+    direct = tnt.def_use_edges(assigns, labelled).unionByName(tnt.builder_edges(scoped, labelled))
+    if "java" in labelled:
+        direct = direct.unionByName(tnt.wrapper_edges(assigns)).unionByName(tnt.lambda_edges(scoped))
+    if "csharp" in labelled:
+        direct = direct.unionByName(tnt.linq_edges(scoped))
+    edges = cut(direct.join(own_calls, ["file_id", "scope_id", "line_no", "dst"], "left_anti").unionByName(tnt.summary_edges(calls, summaries)))
+    seeds = tnt.seed_sources(assigns, labelled).unionByName(tnt.seed_parameters(params, labelled, file_level=False))
+    if "php" in labelled:
+        seeds = seeds.unionByName(tnt.wildcard_seeds(scoped))
+    if "go" in labelled:
+        seeds = seeds.unionByName(tnt.seed_scans(scoped))
+    seeds = cut(seeds)
+
+    declared = cut(assigns.select("file_id", "scope_id", F.col("lhs").alias("var")).unionByName(params.select("file_id", "scope_id", "var")).distinct())
+    ends = edges.select("file_id", "scope_id", F.col("src").alias("var")).unionByName(edges.select("file_id", "scope_id", F.col("dst").alias("var"))).unionByName(seeds.select("file_id", "scope_id", "var"))
+    owned = cut(scopes.owners(ends, declared, found))
+
+    def qualified(df: DataFrame, name: str) -> DataFrame:
+        """`name` as owner:name, which is one variable in the whole file."""
+        kept = df.columns
+        owner = owned.select("file_id", "scope_id", F.col("var").alias(name), "owner")
+        return df.join(owner, ["file_id", "scope_id", name], "left").withColumn(name, F.concat_ws(":", F.coalesce("owner", "scope_id"), name)).select(*kept)
+
+    file_wide = lambda df: df.withColumn("scope_id", F.lit(0))
+    reached = tnt.propagate(file_wide(qualified(seeds, "var")), file_wide(qualified(qualified(edges, "src"), "dst")))
+    place = F.split("var", ":", 2)
+    marks = cut(reached.select("file_id", F.get(place, F.lit(0)).cast("int").alias("scope_id"), F.get(place, F.lit(1)).alias("var"), "label"))
+    sanitized = cut(facts.sanitized_vars(assigns))
+
+    hits = cut(det.match_rules(lines, rules))
+    placed = hits.join(scoped.select("file_id", "line_no", "scope_id"), ["file_id", "line_no"], "left").withColumn("scope_id", F.coalesce("scope_id", F.lit(0)))
+    flagged = det.join_taint(cut(placed), rules, marks, sanitized, lambda uses: scopes.resolve(uses, scopes.owners(uses, declared, found)))
+    return fnd.dedup_findings(fnd.suppress_inline(det.grade(flagged, rules), keyword))

@@ -23,5 +23,5 @@ def test_query_equals_sql(spark, con, name):
     assert ok, text
 
 
-def test_every_query_but_nested_calls_has_sql():
-    assert set(QUERIES) <= set(ORACLES) | {"extract_calls"}
+def test_every_query_but_findings_by_function_has_sql():
+    assert set(QUERIES) <= set(ORACLES) | {"function_findings"}

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from . import registry
 
-MODULES = ("q_sources", "q_taint", "q_joins", "q_findings", "q_packs")
+MODULES = ("q_sources", "q_taint", "q_joins", "q_findings", "q_packs", "q_scopes")
 
 
 def load():
