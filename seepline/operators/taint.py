@@ -220,6 +220,37 @@ def propagate(seeds: DataFrame, edges: DataFrame, max_hops: int | None = None) -
     return _union(reached)
 
 
+def chains(reached: DataFrame, edges: DataFrame) -> DataFrame:
+    """The way of each reached key from its seed: KEY, origin_line, chain (variables in order, the seed's first).
+
+    reached: of `propagate`, over these edges. A key's predecessor is the least variable one hop before it. Ways are
+    put together by pointer doubling: a round appends to each the way of the key at which it begins, so
+    ways of n hops take log n rounds, and a way that has met its seed isn't joined again.
+    """
+    on = [c for c in KEY if c != "label" or "label" in edges.columns]
+    steps = edges.select(*[F.col("src").alias(c) if c == "var" else F.col(c) for c in on], "dst").distinct()
+    hops = cut(reached.select(*KEY, "origin_line", "hop"))
+    before = (
+        hops.join(steps, on).select("file_id", "scope_id", F.col("dst").alias("var"), "label", F.struct((F.col("hop") + 1).alias("hop"), F.col("var").alias("src")).alias("step"))
+        .groupBy(*KEY).agg(F.min("step").alias("step"))
+    )
+    at = F.col("step.src")
+    now = cut(hops.join(before, KEY, "left").select(*KEY, "origin_line", F.when(F.col("hop") > 0, at).alias("start"), F.array("var").alias("chain")))
+    done = []
+    while True:
+        done.append(now.filter("start is null").drop("start"))
+        open_ = now.filter("start is not null")
+        if open_.isEmpty():
+            break
+        every = _union([*(d.withColumn("start", F.lit(None).cast("string")) for d in done), open_])
+        first = every.select("file_id", "scope_id", F.col("var").alias("start"), "label", F.col("start").alias("new_start"), F.col("chain").alias("head"))
+        now = cut(
+            open_.join(first, ["file_id", "scope_id", "start", "label"])
+            .select(*KEY, "origin_line", F.col("new_start").alias("start"), F.concat("head", "chain").alias("chain"))
+        )
+    return _union(done)
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:

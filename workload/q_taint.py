@@ -76,6 +76,21 @@ def render_taint_chain(spark, d):
     return taint_chain(closed(spark, d)).select("file_id", "chain")
 
 
+CHAINS = """
+pd as (select r.file_id, r.scope_id, r.var, r.label, min(e.src) src from reach r join ed e on e.file_id = r.file_id and e.scope_id = r.scope_id and e.dst = r.var and e.label = r.label
+  join reach b on b.file_id = r.file_id and b.scope_id = r.scope_id and b.var = e.src and b.label = r.label and b.hop = r.hop - 1 group by all),
+way(file_id, scope_id, var, label, chain) as (
+ select file_id, scope_id, var, label, var from reach where hop = 0
+ union all select p.file_id, p.scope_id, p.var, p.label, w.chain || ' -> ' || p.var from way w join pd p on p.file_id = w.file_id and p.scope_id = w.scope_id and p.src = w.var and p.label = w.label)"""
+
+
+@query("taint_chains", BASE + "," + HOPS + "," + CHAINS + " select file_id, var, label, chain from way")
+def taint_chains(spark, d):
+    a = cut(assigns(spark, d))
+    edges = cut(tnt.def_use_edges(a))
+    return tnt.chains(tnt.propagate(tnt.seed_sources(a), edges), edges).select("file_id", "var", "label", F.array_join("chain", " -> ").alias("chain"))
+
+
 PASSES = """
 ed as (select distinct file_id, scope_id, src, dst, label, line_no el from edge),
 walk(file_id, scope_id, var, label, pass_no, line_no) as (
