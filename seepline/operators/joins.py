@@ -6,8 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import frames, text as tx
 from ..plans.durable import cut
+from ..rules.languages import CATEGORY_SANITIZERS
 from ..rules.names import DANGEROUS, FLAGS, SHELLS
 from . import facts
+from .taint import propagate
+
+#: Categories that some sanitizer clears.
+SANITIZED = sorted({c for by in CATEGORY_SANITIZERS.values() for c in by})
 
 VAR = ["file_id", "scope_id", "var"]
 
@@ -71,6 +76,39 @@ def flow_sensitive(points: DataFrame, assigns: DataFrame, depth: int | None = No
     return found.join(start.select(*look), look, "left_semi")
 
 
+def cleared_categories(lang: Column, rhs: Column) -> Column:
+    """Categories for which a right-hand side is safe: all where it converts, else those of its sanitizers."""
+    by = [F.when((lang == name) & rhs.rlike(p), F.lit(c)) for name, pats in CATEGORY_SANITIZERS.items() for c, p in pats.items()]
+    killed = tx.by_language(lang, lambda l: tx.matches(rhs, l.killer))
+    every = F.array(*(F.lit(c) for c in SANITIZED))
+    return F.when(killed, every).otherwise(F.array_distinct(F.array_compact(F.array(*by))))
+
+
+def category_taint(points: DataFrame, assigns: DataFrame) -> DataFrame:
+    """Points with each category for which user input still reaches them: file_id, scope_id, var, line_no, category.
+
+    Each assignment is a definition of its own. It is reached by what its right-hand side uses, as last assigned
+    before it, but for the categories that it clears; so cleared state follows copies, holds for the paths that were
+    cleared only, and is reset by a later source. Points are (file_id, lang, scope_id, var, line_no).
+    """
+    name = lambda var, line: F.concat_ws("@", var, line)
+    defs = cut(
+        assigns.groupBy("file_id", "lang", "scope_id", F.col("lhs").alias("var"), "line_no").agg(F.max("rhs").alias("rhs"))
+        .withColumn("open", F.array_except(F.array(*(F.lit(c) for c in SANITIZED)), cleared_categories(F.col("lang"), F.col("rhs"))))
+        .filter(F.size("open") > 0)
+    )
+    lang, rhs = F.col("lang"), F.col("rhs")
+    source = tx.by_language(lang, lambda l: tx.matches(rhs, l.source) & ~tx.matches(rhs, l.safe_source))
+    seeds = defs.filter(source).select("file_id", "scope_id", name("var", "line_no").alias("var"), F.explode("open").alias("label"), "line_no")
+    used = facts.explode_tokens(defs.withColumnRenamed("var", "of_var"), "rhs", None, "var").select("file_id", "scope_id", "var", "line_no", "of_var", "open")
+    steps = nearest_assignment(used, assigns).filter("def_line is not null")
+    edges = steps.select("file_id", "scope_id", name("var", "def_line").alias("src"), name("of_var", "line_no").alias("dst"), F.explode("open").alias("label"))
+    reached = propagate(seeds, edges).select("file_id", "scope_id", F.col("var").alias("def"), F.col("label").alias("category"))
+    asked = points.select("file_id", "scope_id", "var", "line_no").distinct()
+    placed = nearest_assignment(asked, assigns).filter("def_line is not null").withColumn("def", name("var", "def_line"))
+    return placed.join(reached, ["file_id", "scope_id", "def"]).select("file_id", "scope_id", "var", "line_no", "category")
+
+
 # Factories that need hardening and the calls that harden them.
 FACTORY = r"(\w+)\s*=\s*(?:new\s+)?(DocumentBuilderFactory|SAXParserFactory|XMLInputFactory|TransformerFactory|SchemaFactory|SAXReader|SAXBuilder|XMLReader|XStream|Kryo|ObjectMapper|Yaml)\b"
 HARDENING = r"(\w+)\.(?:setFeature|setProperty|setExpandEntityReferences|setXIncludeAware|setAttribute|setEntityResolver|allowTypes|addPermission|denyTypes|setRegistrationRequired|setObjectInputFilter|setXMLResolver)\s*\("

@@ -8,6 +8,7 @@ from seepline.operators import detect as det, facts, findings as fnd, joins, tai
 from seepline.plans import scan
 from seepline.plans.durable import cut
 from seepline.rules import rules_for
+from seepline.rules.languages import CATEGORY_SANITIZERS
 
 from . import sqlfacts as sf
 from .corpus import files, quote, tables
@@ -121,6 +122,27 @@ def flow_sensitive_taint(spark, d):
     return joins.flow_sensitive(points(spark, d), cut(assigns(spark, d))).select("file_id", "var", "line_no")
 
 
+CLEARS = " or ".join(f"(d.lang = {quote(l)} and c.category = {quote(c)} and {sf.rx('d.rhs', p)})" for l, by in CATEGORY_SANITIZERS.items() for c, p in by.items())
+
+
+@query(
+    "category_taint",
+    AW.replace("with ", "with recursive ", 1) + "," + POINTS + f""", dd as (select file_id, lang, lhs as var, line_no, max(rhs) rhs from tgt group by all),
+cat(category) as (values {','.join(f"({quote(c)})" for c in joins.SANITIZED)}),
+dk as (select *, {KILLED} as killed, {SOURCE} as is_source from dd),
+op as (select d.*, category from dk d, cat c where not killed and not ({CLEARS})),
+us as (select distinct file_id, var as of_var, line_no as of_line, category, unnest({sf.idents('rhs')}) as var from op),
+ed as (select u.file_id, of_var, of_line, u.var, category, max(d.line_no) line_no from us u join dd d on d.file_id = u.file_id and d.var = u.var and d.line_no < u.of_line group by all),
+got(file_id, var, line_no, category) as (
+ select file_id, var, line_no, category from op where is_source
+ union select e.file_id, e.of_var, e.of_line, e.category from ed e join got g on g.file_id = e.file_id and g.var = e.var and g.line_no = e.line_no and g.category = e.category),
+pn as (select p.file_id, p.var, p.line_no, max(d.line_no) def_line from pt p join dd d on d.file_id = p.file_id and d.var = p.var and d.line_no < p.line_no group by all)
+select p.file_id, p.var, p.line_no, category from pn p join got g on g.file_id = p.file_id and g.var = p.var and g.line_no = p.def_line""",
+)
+def category_taint(spark, d):
+    return joins.category_taint(points(spark, d), cut(assigns(spark, d))).select("file_id", "var", "line_no", "category")
+
+
 @query("assign_scope", FW + " select c.file_id, c.line_no, coalesce((select max(scope_id) from fn f where f.file_id = c.file_id and f.scope_id <= c.line_no), 0) as scope_id from code c where lang <> 'webconfig'")
 def assign_scope(spark, d):
     return facts.assign_scope(code(spark, d)).select("file_id", "line_no", "scope_id")
