@@ -9,8 +9,8 @@ verified by whole products.
 
 An anchor asks with windows: bounds of the score, and the same label or another one. Its threshold starts at the top
 of its windows and is lowered, to an index that omits less, until each window holds k rows of the block or the threshold
-is at the window's bottom. Positives are searched first, in the block where the anchor itself lies; their least score
-is where the threshold starts in all other blocks. Their scores are the windows of the negatives.
+is at the window's bottom. This is done in the block where the anchor itself lies; the least score of the k rows found
+there is the threshold in all blocks. Positives are searched first; their scores are the windows of the negatives.
 
 Rows with a null id, label or vector, or with null or non-finite components (also once scaled), take no part. Vectors of
 unequal length are compared over the places that both have. Another row is one with another id. Equal rows travel as one with a
@@ -80,7 +80,7 @@ class Index:
         """The rows that may reach the threshold. norms: head_norms of the weights."""
         dims = len(weights)
         live = np.arange(int(self.counts[-1]) if dims else len(self.order))
-        scores, all_live = np.zeros(len(live)), True
+        scores, room, all_live = np.zeros(len(live)), np.empty(len(live)), True
         with np.errstate(invalid="ignore", over="ignore"):
             least = threshold - 1e-9 * norms[-1] * self.top
             for term in range(dims - 1, -1, -1):
@@ -88,23 +88,25 @@ class Index:
                 if not all_live:
                     held = int(np.searchsorted(live, held))
                 if held and weights[term]:
-                    scores[:held] += weights[term] * (self.lists[term, :held] if all_live else self.lists[term][live[:held]])
+                    scores[:held] += np.multiply(self.lists[term, :held] if all_live else self.lists[term].take(live[:held]), weights[term], out=room[:held])
                 if term % STEP == 0 and len(live):
                     left = np.maximum(term, self.omitted[live])  # the leading components that aren't in the score
                     able = ~(scores + self.heads[live, left] * norms[left] < least)
-                    if not able.all():
+                    # rows leave once they are many: a few are cheaper to carry on than to step around
+                    if able.sum() < 0.75 * len(live) or term == 0:
                         live, scores, all_live = live[able], scores[able], False
         return self.order[live]
 
 
 @dataclass
 class Ask:
-    """Rows wanted by an anchor: k with scores from low to high (None: open), with its label or with another one."""
+    """Rows wanted by an anchor: k with scores from low to high (None: open), with its label or with another one. filled: low is where its threshold starts."""
 
     low: int | None
     high: int | None
     same: bool
     k: int
+    filled: bool = False
 
 
 def steps(low: float | None, high: float | None, top: float) -> list[float]:
@@ -157,7 +159,8 @@ class Block:
                 low = None if any(a.low is None for a in asks) else min(a.low for a in asks)
                 high = None if any(a.high is None for a in asks) else min(a.high for a in asks)
                 high = low if high is not None and low is not None and high < low else high
-                waiting.append((*self._next(steps(low, high, self.top * float(norms[j][-1])), norms[j]), j))
+                rest = [float(low)] if all(a.filled for a in asks) else steps(low, high, self.top * float(norms[j][-1]))
+                waiting.append((*self._next(rest, norms[j]), j))
         while waiting:
             # the anchors with the highest thresholds, relative to their norms, share an index
             level = max(x[0] for x in waiting)
@@ -190,28 +193,34 @@ class Block:
         return min(np.floor(rest[0] / norm / sixteenth), 16.0) * sixteenth, rest
 
 
-def _asks(scores: list[int] | None, floor: int | None, k: int, window: tuple[int, int, int] | None) -> list[Ask]:
+def _asks(windows: list[dict] | None, floor: int | None, k: int, window: tuple[int, int, int] | None, last: bool) -> list[Ask]:
+    """Of positives: one, from the floor on. Of negatives: one for each window (a positive's score and its own floor). last: thresholds start at the bottom."""
     if window is None:
-        return [Ask(floor, None, True, k)]
+        return [Ask(floor, None, True, k, floor is not None)]
     low, high, whole = window
-    return [Ask(-(-low * s // whole), high * s // whole, False, k) for s in scores or []]
+    out = []
+    for w in windows or []:
+        least, most = -(-low * w["score"] // whole), high * w["score"] // whole
+        known = w["floor"] is not None
+        out.append(Ask(max(least, w["floor"]) if known else least, most, False, k, last))
+    return out
 
 
-def _search(asked: DataFrame, rows: DataFrame, by: list[str], k: int, window: tuple[int, int, int] | None) -> DataFrame:
-    """key, positive_score (null for positives), found, score, copies. asked: by, key, id, label, v, scores, floor; rows: by, id, label, v, copies."""
+def _search(asked: DataFrame, rows: DataFrame, by: list[str], k: int, window: tuple[int, int, int] | None, last: bool = False) -> DataFrame:
+    """key, positive_score (null for positives), found, score, copies. asked: by, key, id, label, v, windows (array of score, floor), floor; rows: by, id, label, v, copies."""
     schema = pa.schema([("key", pa.int64()), ("positive_score", pa.int64()), ("found", pa.int64()), ("score", pa.int64()), ("copies", pa.int64())])
 
     def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
         dims = max((len(x) for t in (asked, rows) for x in t.column("v")), default=0)
         block = Block(*(rows.column(c).to_numpy() for c in ("id", "label", "copies")), _matrix(rows.column("v"), dims))
         weights = _matrix(asked.column("v"), dims)
-        given = zip(*(asked.column(c).to_pylist() for c in ("key", "id", "label", "scores", "floor")), strict=True)
-        anchors = [(key, own, label, _asks(scores, floor, k, window), scores) for key, own, label, scores, floor in given]
+        given = zip(*(asked.column(c).to_pylist() for c in ("key", "id", "label", "windows", "floor")), strict=True)
+        anchors = [(key, own, label, _asks(windows, floor, k, window, last), windows) for key, own, label, windows, floor in given]
         found = block.search([(own, label, weights[j], asks) for j, (_, own, label, asks, _) in enumerate(anchors)])
         parts: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(5)]
-        for (key, _, _, _, scores), answers in zip(anchors, found, strict=True):
+        for (key, _, _, _, windows), answers in zip(anchors, found, strict=True):
             for a, (at, got) in enumerate(answers):
-                own = (np.full(len(at), key), np.full(len(at), scores[a] if window else 0), block.ids[at], got, block.copies[at])
+                own = (np.full(len(at), key), np.full(len(at), windows[a]["score"] if window else 0), block.ids[at], got, block.copies[at])
                 for part, column in zip(parts, own, strict=True):
                     part.append(column)
         return pa.table([pa.array(np.concatenate(p).astype(np.int64)) for p in parts], schema=schema)
@@ -241,10 +250,16 @@ def hard_negatives(
     ask_blocks = max(-(-asking * width // BYTES), 1)
     dealt = rows.withColumn("block", F.pmod("key", F.lit(blocks)))
     numbers = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)).cast("array<long>"))
-    open_, none = dealt.where("asks").withColumn("scores", F.lit(None).cast("array<long>")), F.lit(None).cast("long")
-    at_home = _search(open_.withColumn("floor", none), dealt.drop("key", "asks"), ["block"], positives, None)
-    floors = _best(at_home, ["key"], positives).where(F.col("rank") == positives).select("key", F.col("score").alias("floor"))
-    spread = dealt.drop("key", "asks").withColumn("ask_block", numbers(ask_blocks))
+    none = F.lit(None).cast("long")
+    open_ = dealt.where("asks").withColumn("windows", F.lit(None).cast("array<struct<score:long,floor:long>>"))
+    here = dealt.drop("key", "asks")
+
+    def last(found: DataFrame, by: list[str], k: int) -> DataFrame:
+        """The least of k scores that are there for sure."""
+        return _best(found, by, k).where(F.col("rank") == k).select(*by, F.col("score").alias("floor"))
+
+    floors = last(_search(open_.withColumn("floor", none), here, ["block"], positives, None), ["key"], positives)
+    spread = here.withColumn("ask_block", numbers(ask_blocks))
     by = ["ask_block", "block"]
 
     def everywhere(asked: DataFrame) -> DataFrame:
@@ -252,9 +267,15 @@ def hard_negatives(
 
     best = _best(_search(everywhere(open_.join(floors, "key", "left")), spread, by, positives, None), ["key"], positives)
     best = Written(best.select("key", F.col("found").alias("positive_id"), F.col("score").alias("positive_score"), F.col("rank").alias("place")), "positives").df
-    scores = best.groupBy("key").agg(F.sort_array(F.collect_set("positive_score")).alias("scores"))
-    asked = dealt.where("asks").join(scores, "key").withColumn("floor", none)
-    found = _best(_search(everywhere(asked), spread, by, negatives, window), ["key", "positive_score"], negatives)
+
+    def asking_with(windows: DataFrame) -> DataFrame:
+        each = windows.groupBy("key").agg(F.sort_array(F.collect_set(F.struct(F.col("positive_score").alias("score"), F.col("floor")))).alias("windows"))
+        return dealt.where("asks").join(each, "key").withColumn("floor", none)
+
+    wanted = best.select("key", "positive_score").distinct()
+    at_home = _search(asking_with(wanted.withColumn("floor", none)), here, ["block"], negatives, window)
+    windows = wanted.join(last(at_home, ["key", "positive_score"], negatives), ["key", "positive_score"], "left")
+    found = _best(_search(everywhere(asking_with(windows)), spread, by, negatives, window, True), ["key", "positive_score"], negatives)
     named = best.join(dealt.where("asks").select("key", F.col("id").alias("anchor_id")), "key")
     return named.join(found, ["key", "positive_score"]).select(
         "anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("found").alias("negative_id"), "positive_score", F.col("score").alias("negative_score")
