@@ -1,7 +1,8 @@
 """Personal data by weak supervision: labelers vote on candidate spans, expectation-maximisation weighs them.
 
 Candidates are the spans of the strict patterns (which always stay) and spans of looser ones: masked addresses, phone
-numbers without a country code, card numbers of other lengths or with a wrong check digit, national identity numbers.
+numbers without a country code, card numbers of other lengths or with a wrong check digit, national identity numbers, and
+secrets: access keys and tokens of well-known forms, private keys, and what is assigned to a name such as password or token.
 On each, five labelers vote for, against or not at all: the strict pattern, the kind's own check, a gazetteer of endings
 and number ranges, words of the context, and the characters next to it. Expectation-maximisation over the counts of
 vote patterns of all documents estimates how each labeler votes on true and false spans of a kind; with its
@@ -9,15 +10,19 @@ posteriors a logistic span classifier is trained over votes, kind, length and sh
 candidate stays if the classifier says so; candidates never overlap, strict ones first.
 
 Only the table of pattern counts reaches the driver: kinds x 3^5 votes x 8 x 4 buckets at most, whatever the input.
-Null text is empty and has no spans. Rows are treated one by one, so null and repeated ids and repeated rows
+No pattern bounds the length of what it finds, and each takes time in proportion to a text; texts of any length are read whole, one of
+over a million characters by itself. Null text is empty and has no spans. Rows are treated one by one, so null and repeated ids and repeated rows
 are kept; other columns are left alone. An empty table gives no rows, and a model that keeps no loose span.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +32,7 @@ from pyspark.sql import functions as F
 from .rows import free_name, slices, with_text_columns
 
 #: Kinds in the order of reports; the strict patterns know the first four.
-KINDS = ("email", "ip", "card", "phone", "identity")
+KINDS = ("email", "ip", "card", "phone", "identity", "secret")
 BASE = KINDS[:4]
 
 # The strict patterns. A run of digits is tried from its start alone, which changes no match.
@@ -37,16 +42,21 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
-_MASKED = re.compile(r"\x20?[\[(]\x20?(?:at|AT)\x20?[\])]\x20?(?=([A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[\[(]\x20?(?:dot|DOT)\x20?[\])]\x20?)[A-Za-z0-9-]{1,63}){1,8}))")
+_MASKED = re.compile(r"\x20?[\[(]\x20?(?:at|AT)\x20?[\])]\x20?(?=([A-Za-z0-9-]++(?:(?:\.|\x20?[\[(]\x20?(?:dot|DOT)\x20?[\])]\x20?)[A-Za-z0-9-]++)++))")
 _BARE_PHONE = re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])")
 _IDENTITY = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _DIGIT = re.compile(r"[0-9]")
+#: Secrets: what a name tells (the value is group 1), forms that vendors publish, and private keys.
+_NAMED = re.compile(r"(?i)(?:passw(?:or)?d|pwd|secret|token|api[_\x20-]?key|access[_\x20-]?key|credentials?)[\"']?\x20?(?:=>?|:=?)\x20?[\"']?([^\s\"'<>,;()]{8,})")
+_ISSUED = re.compile(r"(?<![A-Za-z0-9_-])(?:A(?:KIA|SIA)[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_[A-Za-z0-9]{20,}|xox[abeprs]-[A-Za-z0-9-]{10,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]*)")
+_KEY_HEAD, _KEY_END = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"), re.compile(r"-----END (?:[A-Z]+ )*PRIVATE KEY-----")
 
 #: The gazetteers: endings of domains, calling codes, beginnings of card numbers, first octets that name no person's host.
 _ENDINGS = frozenset("com org net edu gov int mil info biz io dev app eu uk de fr es it nl be ch at pl se no dk fi ie pt us ca mx br ar au nz jp cn in kr ru".split())
 _CODES = tuple("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 54 55 56 57 61 62 63 64 65 66 81 82 84 86 90 91 351 352 353 358 420 971".split())
 _ISSUERS = tuple("4 51 52 53 54 55 34 37 35 36 38 60 62 64 65 67 22 23 24 25 26 27".split())
 _NO_HOST = frozenset(("0", "127", "255"))
+_ISSUED_HEADS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "eyJ", "-----BEGIN")
 
 _FOR = {
     "email": re.compile(r"mail|contact|write to|schreib|correo|courriel|@", re.I),
@@ -54,8 +64,10 @@ _FOR = {
     "card": re.compile(r"card|visa|credit|payment|karte|carte|tarjeta", re.I),
     "phone": re.compile(r"tel|phone|call|mobile|fax|anruf|handy|llam|appel", re.I),
     "identity": re.compile(r"ssn|social|security|identity|ausweis|dni|identit", re.I),
+    "secret": re.compile(r"passw|pwd|secret|token|key|credential|auth|login", re.I),
 }
 _AGAINST = re.compile(r"version|release|build|isbn|order|invoice|serial|hash|token|sha", re.I)
+_NO_SECRET = re.compile(r"example|sample|placeholder|dummy|redacted|commit|checksum|digest", re.I)
 CONTEXT = 32
 
 
@@ -106,7 +118,7 @@ def _loose(text: str) -> Iterator[tuple[str, int, int]]:
     if "at" in text or "AT" in text:
         for m in _MASKED.finditer(text):
             start = m.start()
-            while start > 0 and m.start() - start < 64 and text[start - 1] in _LOCAL:
+            while start > 0 and text[start - 1] in _LOCAL:
                 start -= 1
             if start < m.start():
                 yield "email", start, m.end(1)
@@ -114,10 +126,29 @@ def _loose(text: str) -> Iterator[tuple[str, int, int]]:
         for m in _IDENTITY.finditer(text):
             yield "identity", m.start(), m.end()
         for m in _CARD.finditer(text):
-            if 13 <= m.end() - m.start() <= 40 and 13 <= len(_only_digits(m[0])) <= 19:
+            if 13 <= len(_only_digits(m[0])) <= 19:
                 yield "card", m.start(), m.end()
         for m in _BARE_PHONE.finditer(text):
             yield "phone", m.start(), m.end()
+    for m in _NAMED.finditer(text) if "=" in text or ":" in text else ():
+        if _DIGIT.search(m[1]):
+            yield "secret", m.start(1), m.end(1)
+    for m in _ISSUED.finditer(text):
+        yield "secret", m.start(), m.end()
+    head = _KEY_HEAD.search(text)
+    while head:
+        end = _KEY_END.search(text, head.end())
+        if not end:
+            break
+        yield "secret", head.start(), end.end()
+        head = _KEY_HEAD.search(text, end.end())
+
+
+def _mixed(span: str) -> bool:
+    """Digits and letters, and at least two bits a character as they are spread."""
+    count = [span.count(c) for c in set(span)]
+    spread = -sum(n * math.log2(n / len(span)) for n in count) / len(span)
+    return spread >= 2 and any(c.isalpha() for c in span) and _DIGIT.search(span) is not None
 
 
 def _votes(kind: str, text: str, start: int, end: int, is_strict: bool) -> tuple[int, ...]:
@@ -134,10 +165,12 @@ def _votes(kind: str, text: str, start: int, end: int, is_strict: bool) -> tuple
     elif kind == "phone":
         check = 2 if 8 <= len(digits) <= 15 else 0
         listed = 1 if span[0] != "+" else (2 if digits.startswith(_CODES) else 0)
+    elif kind == "secret":
+        check, listed = (2 if _mixed(span) else 0), (2 if span.startswith(_ISSUED_HEADS) else 1)
     else:
         check, listed = (0 if digits[:3] in ("000", "666") or digits[0] == "9" or digits[3:5] == "00" or digits[5:] == "0000" else 2), 1
     before = text[max(0, start - CONTEXT) : start]
-    context = 2 if _FOR[kind].search(before) else 0 if _AGAINST.search(before) else 1
+    context = 2 if _FOR[kind].search(before) else 0 if (_NO_SECRET if kind == "secret" else _AGAINST).search(before) else 1
     left, right = text[start - 1 : start], text[end : end + 1]
     near = 0 if left.isalnum() or right.isalnum() else 2
     return 2 if is_strict else 1, check, listed, context, near
@@ -156,12 +189,11 @@ def candidates(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, i
     """Strict spans, loose spans that overlap none of them nor each other (with their patterns), and all patterns."""
     base = strict(text)
     taken = sorted((a, b) for _, a, b in base)
+    reach = list(accumulate((b for _, b in taken), max))  # how far the first ones go
     loose, end = [], -1
-    from bisect import bisect_left
-
     for kind, a, b in sorted(_loose(text), key=lambda s: (s[1], -s[2], KINDS.index(s[0]))):
         k = bisect_left(taken, (b, -1))
-        if a >= end and not any(x < b and y > a for x, y in taken[max(0, k - len(BASE)) : k]):
+        if a >= end and not (k and reach[k - 1] > a):
             loose.append((kind, a, b, _pattern(kind, text, a, b, False)))
             end = b
     return base, loose, [_pattern(k, text, a, b, True) for k, a, b in base] + [s[3] for s in loose]
@@ -257,7 +289,7 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
 
 def learn(found: DataFrame) -> Model:
-    """found: of `spans`. The counts of patterns are at most some 40,000 rows, whatever the input."""
+    """found: of `spans`. The counts of patterns are at most 46,656 rows, whatever the input."""
     counted = found.select(F.explode("patterns").alias("pattern")).groupBy("pattern").count()
     return train({r["pattern"]: r["count"] for r in counted.collect()})
 

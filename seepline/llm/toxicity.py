@@ -8,7 +8,11 @@ document's score is a logistic function of its highest weight and its number of
 
 Learning takes a bounded sample: at most `most` labelled rows of each class, in the order of a hash of their ids, each with
 its whole text: tasks take its distinct words and the number of its windows, and only these come to the driver. Scoring
-reads every window of every whole text. A window compressed once is remembered by the worker process.
+reads every window of every whole text. Both cut windows by one function: a word longer than a window is cut in windows that
+overlap by half, so no expression of up to 32 bytes is parted. A window compressed once is remembered by the worker process.
+
+Texts of any length are read whole, one of over a million characters by itself. What stays of a text in learning is its
+distinct windows, so the driver's memory grows with `most` and the vocabulary of the sampled texts, not with the table.
 
 Null text is empty; empty texts get the score that no window gives. Without labels of both classes every score is the
 share of toxic labels (0 without any). Null ids are scored and never held out; rows are scored one by one, so
@@ -18,7 +22,6 @@ repeated rows agree; other columns are left as they are. An empty table gives no
 from __future__ import annotations
 
 import math
-import re
 import sys
 from collections import Counter
 from collections.abc import Iterator
@@ -32,17 +35,30 @@ from pyspark.sql import functions as F
 from .hashing import Known, range_hashes
 from .rows import free_name, slices, with_text_columns
 
-WINDOW = 64  # bytes at most
-FOLDS, LEAST, SIZE, LEVEL = 5, 8.0, 8000, 12
+WINDOW, STEP = 64, 32  # bytes of a window (up to three more end a character), and between windows of a long word
+FOLDS, LEAST, LEVEL = 5, 8.0, 12
+#: Characters of each dictionary at most, unless `learn` is told otherwise.
+SIZE = 8000
 CARRIER = b"<<0123456789abcdefghij>>"
 EDGE = ".,;:!?|*#$%&\"'()[]"
-WORD = re.compile(r"[^\t-\r ]+")
 _SPACE = np.zeros(256, bool)
 _SPACE[[*range(9, 14), 32]] = True
 
 
-def _bare(word: str) -> str:
-    return word.strip(EDGE)
+def cut(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts in lower case as bytes, where each window begins and ends there, and how many windows each text has."""
+    raw = [t.lower().encode("utf-8", "ignore") for t in texts]
+    data = np.frombuffer(b" ".join([*raw, b""]), np.uint8)
+    edges = np.cumsum([0] + [len(r) + 1 for r in raw])
+    solid = np.concatenate([[False], ~_SPACE[data], [False]])
+    starts, ends = np.flatnonzero(solid[1:] & ~solid[:-1]), np.flatnonzero(~solid[1:] & solid[:-1])
+    pieces = np.maximum(-(-(ends - starts - WINDOW) // STEP), 0) + 1
+    step = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    at = np.repeat(starts, pieces) + step * STEP
+    to = np.minimum(at + WINDOW, np.repeat(ends, pieces))
+    for _ in range(3):  # no window parts a character
+        at, to = at + (data[at] >> 6 == 2), to + (data[to] >> 6 == 2)
+    return data, at, to, np.diff(np.searchsorted(at, edges))
 
 
 def _surplus(a: int, n: int, b: int, m: int) -> float:
@@ -56,8 +72,9 @@ def _surplus(a: int, n: int, b: int, m: int) -> float:
     return g if a / n > b / m else -g
 
 
-def dictionaries(texts: list[set[str]], toxic: list[bool]) -> tuple[bytes, bytes]:
-    """The contents of the ordinary and the toxic dictionary: words and beginnings of words, what tells most last."""
+def dictionaries(texts: list[set[str]], toxic: list[bool], size: int = SIZE) -> tuple[bytes, bytes]:
+    """The contents of the ordinary and the toxic dictionary: words and beginnings of words, what tells most last, and of
+    each the last `size` characters."""
     held = (Counter(), Counter())
     for words, is_toxic in zip(texts, toxic, strict=True):
         parts = {f" {w} " for w in words if len(w) >= 3}
@@ -67,7 +84,7 @@ def dictionaries(texts: list[set[str]], toxic: list[bool]) -> tuple[bytes, bytes
     told = {p: _surplus(held[1][p], n, held[0][p], m) for p in sorted(set(held[0]) | set(held[1]))}
     high = sorted((p for p in told if told[p] >= LEAST), key=told.get)
     low = sorted((p for p in told if held[0][p] >= 2 and told[p] < LEAST / 2), key=held[0].get)
-    return tuple("".join(x)[-SIZE:].encode("utf-8", "ignore") for x in (low, high))
+    return tuple("".join(x)[-size:].encode("utf-8", "ignore") for x in (low, high))
 
 
 class Windows:
@@ -118,12 +135,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def read(text: str) -> tuple[set[str], int]:
-    """The distinct bare words of a whole text, and the number of its windows, as many as `features` counts."""
-    cut = WORD.findall(text.lower())
-    return {_bare(w) for w in cut} - {""}, sum(-(-len(w.encode("utf-8", "ignore")) // WINDOW) for w in cut)
+    """The distinct windows of a whole text without what edges them, and the number of all its windows."""
+    data, at, to, _ = cut([text])
+    whole = data.tobytes()
+    return {whole[a:b].decode().strip(EDGE) for a, b in zip(at.tolist(), to.tolist(), strict=True)} - {""}, len(at)
 
 
-def fit(words: list[set[str]], windows: list[int], toxic: list[bool], share: float) -> Model:
+def fit(words: list[set[str]], windows: list[int], toxic: list[bool], share: float, size: int = SIZE) -> Model:
     """words, windows: of the sample's texts, by `read`; share: of toxic rows among all labelled ones that may be learnt from."""
     if not any(toxic) or all(toxic):
         return Model(share=float(share))
@@ -133,11 +151,11 @@ def fit(words: list[set[str]], windows: list[int], toxic: list[bool], share: flo
         flags = [toxic[j] for j in rest]
         if not any(flags) or all(flags):
             rest, flags = list(range(len(words))), toxic
-        book = Windows(*dictionaries([words[j] for j in rest], flags))
+        book = Windows(*dictionaries([words[j] for j in rest], flags, size))
         known: dict[str, int] = {}
         for j in range(k, len(words), FOLDS):
             for w in words[j] - known.keys():
-                known[w] = book.cell(w.encode("utf-8", "ignore")[:WINDOW])
+                known[w] = book.cell(w.encode())
             cells[j] = {known[w] for w in words[j]}
     held = (Counter(), Counter())
     for own, is_toxic in zip(cells, toxic, strict=True):
@@ -149,7 +167,7 @@ def fit(words: list[set[str]], windows: list[int], toxic: list[bool], share: flo
     x = np.array([[1, max((weights[c] for c in own), default=0.0), math.log1p(c)] for own, c in zip(cells, windows, strict=True)])
     y = np.array(toxic, float)
     slopes = _logistic(x, y, np.where(y == 1, share / n, (1 - share) / m) * len(y))
-    return Model(*dictionaries(words, toxic), tuple(weights), tuple(slopes), float(share))
+    return Model(*dictionaries(words, toxic, size), tuple(weights), tuple(slopes), float(share))
 
 
 def _read_texts(rows: DataFrame) -> DataFrame:
@@ -168,8 +186,9 @@ def _read_texts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"id {kinds['id'].dataType.simpleString()}, toxic {kinds['toxic'].dataType.simpleString()}, words string, windows long")
 
 
-def learn(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, most: int = 1000, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """A model from at most 2 * most labelled rows. learnable: over labels' id column, which rows may be learnt from."""
+def learn(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, most: int = 1000, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", size: int = SIZE) -> Model:
+    """A model from at most 2 * most labelled rows, with dictionaries of at most `size` characters. learnable: over labels' id
+    column, which rows may be learnt from."""
     given = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull())
     given = given.where(learnable) if learnable is not None else given
     given = given.groupBy(F.col(doc_id).alias("id")).agg(F.max(label).alias("toxic"))
@@ -183,7 +202,7 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, m
     whole = texts.join(F.broadcast(sample), "id").groupBy("id", "toxic").agg(F.min("text").alias("text"))
     rows = _read_texts(whole).orderBy(F.xxhash64("id"), "id").collect()
     words = [{sys.intern(w) for w in r["words"].split(" ")} - {""} for r in rows]  # a word of many texts is held once
-    return fit(words, [r["windows"] for r in rows], [r["toxic"] == 1 for r in rows], counts.get(1, 0) / total)
+    return fit(words, [r["windows"] for r in rows], [r["toxic"] == 1 for r in rows], counts.get(1, 0) / total, size)
 
 
 _BOOKS: dict = {}
@@ -199,20 +218,15 @@ class _Scorer:
     def _forget(self) -> None:
         self.known, self.weight = Known(), np.zeros(1 << 16)
 
+    def weight_of(self, window: bytes) -> float:
+        """A window of nothing but edges tells nothing, as in learning."""
+        return self.weights[self.windows.cell(window)] if window.strip(EDGE.encode()) else -np.inf
+
     def features(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The highest weight of each text's windows (0 without any), and their number."""
+        """The highest weight of each text's windows (0 without any that tells something), and their number."""
         if self.known.size > self.most:
             self._forget()
-        raw = [t.lower().encode("utf-8", "ignore") for t in texts]
-        data = np.frombuffer(b" ".join([*raw, b""]), np.uint8)
-        edges = np.cumsum([0] + [len(r) + 1 for r in raw])
-        solid = np.concatenate([[False], ~_SPACE[data], [False]])
-        starts, ends = np.flatnonzero(solid[1:] & ~solid[:-1]), np.flatnonzero(~solid[1:] & solid[:-1])
-        pieces = -(-(ends - starts) // WINDOW)  # long words are several windows
-        step = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        at = np.repeat(starts, pieces) + step * WINDOW
-        to = np.minimum(at + WINDOW, np.repeat(ends, pieces))
-        n = np.diff(np.searchsorted(at, edges))
+        data, at, to, n = cut(texts)
         high = np.zeros(len(texts))
         if len(at):
             keys = range_hashes(data, at, to)
@@ -221,7 +235,7 @@ class _Scorer:
             if len(gaps):
                 fresh, first = np.unique(keys[gaps], return_index=True)
                 whole, gap = data.tobytes(), gaps[first]
-                made = self.weights[[self.windows.cell(whole[a:b]) for a, b in zip(at[gap].tolist(), to[gap].tolist(), strict=True)]]
+                made = np.array([self.weight_of(whole[a:b]) for a, b in zip(at[gap].tolist(), to[gap].tolist(), strict=True)])
                 size = self.known.size
                 while size + len(made) > len(self.weight):
                     self.weight = np.concatenate([self.weight, np.zeros_like(self.weight)])
@@ -230,6 +244,7 @@ class _Scorer:
                 rows[gaps] = self.known.find(keys[gaps])
             some = np.flatnonzero(n)
             high[some] = np.maximum.reduceat(self.weight[rows], (np.cumsum(n) - n)[some])
+            high[np.isneginf(high)] = 0
         return high, n
 
 
