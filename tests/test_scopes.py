@@ -250,3 +250,46 @@ def test_owner_is_the_innermost_declaring_scope(spark):
     got = {(r.scope_id, r["var"]): r.owner for r in scopes.owners(names, declared, found).collect()}
     assert got == {(5, "a"): 3, (5, "b"): 5, (5, "g"): 0, (1, "a"): 1, (0, "g"): 0}
     assert {(r.scope_id, r["var"]) for r in scopes.resolve(names, scopes.owners(names, declared, found)).collect()} == {(3, "a"), (5, "b"), (0, "g"), (5, "z"), (1, "a"), (1, "b")}
+
+
+FLOWS = """function handler(req, res) {
+  const q = req.query.q;
+  const copy = q;
+  store(1, copy);
+  store("x", 2);
+  other.store(3, copy);
+}
+function store(n, value) {
+  db.query("select " + value);
+  db.query("select " + n);
+}
+function put(target, key, free) {
+  target[key] = 1;
+  const own = free;
+  items.forEach((x) => {
+    target[x] = 2;
+    target[key] = 3;
+    target[own] = 4;
+    if (target[key] == 5) return;
+  });
+}
+function answer(req, res) {
+  const name = req.body.name;
+  const fixed = "a";
+  respond(res, name);
+  respond(res, fixed);
+}"""
+
+
+def test_taint_enters_parameters_and_findings_say_all(spark):
+    files = spark.createDataFrame([(1, "src/a.js", "javascript", FLOWS)], "file_id long, path string, lang string, content string")
+    rules = [r for r in rules_for("javascript") if r.category in ("SQL_INJECTION", "PROTOTYPE_POLLUTION", "REFLECTED_XSS")]
+    rows = scan.scan_described(files, rules).collect()
+    strong = {r.line_no: r for r in rows if r.category == "SQL_INJECTION" and r.severity == "CRITICAL" and r.confidence == "HIGH"}
+    assert set(strong) == {9}  # the second argument, through the file's own function only
+    assert strong[9].path == "src/a.js" and strong[9].chain == "user source at line 2: q -> copy -> value" and strong[9].code == 'db.query("select " + value);'
+    assert FLOWS.split("\n")[8][strong[9].column - 1 :].lstrip(".").startswith(("db", "query")) and strong[9].cwe_id == "CWE-89" and "line 9" in strong[9].message
+    # the innermost parameter or the captured one, not a variable made of one, not a comparison
+    assert {r.line_no for r in rows if r.rule_id == "js-parameter-key"} == {13, 16, 17}
+    assert [r.line_no for r in rows if r.rule_id == "js-output-wrapper"] == [25]
+    assert {(r.file_id, r.line_no, r.category) for r in rows} == {(r.file_id, r.line_no, r.category) for r in scan.scan_functions(files, rules).collect()}
