@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from seepline.operators import findings as fnd
 from seepline.plans import scan
+from seepline.plans.durable import cut
 from seepline.rules import rules_for
 
 from . import sqlfacts as sf
@@ -21,7 +22,7 @@ def language_taint(spark, d, lang) -> scan.Taint:
     """Taint of a language's files, written once per session and read by all its packs."""
     key = (spark.sparkContext.applicationId, d, lang)
     if key not in _TAINT:
-        _TAINT[key] = scan.write_taint(scan.file_taint(lines(spark, d, (lang,)), [lang]))
+        _TAINT[key] = scan.write_taint(scan.file_taint(cut(lines(spark, d, (lang,))), [lang]))
     return _TAINT[key]
 
 
