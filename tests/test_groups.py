@@ -38,3 +38,16 @@ def test_small_and_large_groups_reach_the_same(spark, monkeypatch):
         asked = (tnt.propagate(seeds, edges), tnt.propagate(seeds, edges.drop("label"), max_hops=2), tnt.propagate(seeds, edges, known=known))
         sets.append([sorted(map(tuple, df.select(*tnt.KEY, "origin_line", "hop").collect())) for df in asked])
     assert sets[0] == sets[1] == sets[2] and max(r[-1] for r in sets[0][0]) > 1
+
+
+def test_walks_back_are_looked_up_once_however_many_steps(spark, monkeypatch):
+    written = []
+    cut = joins.cut
+    monkeypatch.setattr(joins, "cut", lambda df: written.append(1) or cut(df))
+    kind = "file_id long, lang string, scope_id int, lhs string, rhs string, line_no int"
+    rows = [(1, "python", 0, "v0", 'request.args.get("q")', 1), (1, "python", 0, "v3", "1", 14)]
+    assigns = spark.createDataFrame(rows + [(1, "python", 0, f"v{k}", f"v{k - 1}", k + 1) for k in range(1, 12)], kind)
+    points = spark.createDataFrame([(1, "python", 0, "v11", 13), (1, "python", 0, "v3", 15), (1, "python", 0, "v3", 10)], "file_id long, lang string, scope_id int, var string, line_no int")
+    assert {(r["var"], r.line_no) for r in joins.flow_sensitive(points, assigns).collect()} == {("v11", 13), ("v3", 10)}
+    assert len(written) == 2
+    assert {(r["var"], r.line_no) for r in joins.flow_sensitive(points, assigns, depth=4).collect()} == {("v3", 10)}
