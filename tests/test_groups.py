@@ -51,3 +51,20 @@ def test_walks_back_are_looked_up_once_however_many_steps(spark, monkeypatch):
     assert {(r["var"], r.line_no) for r in joins.flow_sensitive(points, assigns).collect()} == {("v11", 13), ("v3", 10)}
     assert len(written) == 2
     assert {(r["var"], r.line_no) for r in joins.flow_sensitive(points, assigns, depth=4).collect()} == {("v3", 10)}
+
+
+def test_sweeps_and_chains_of_small_and_large_groups(spark, monkeypatch, tables):
+    r = random.Random(8)
+    rows = [(f, 0, f"v{r.randint(0, 7)}", f"v{r.randint(0, 7)}", "user", r.randint(1, 20)) for f in range(5) for _ in range(4 * f + 5)]
+    edges = spark.createDataFrame(rows, EDGE).cache()
+    seeds = spark.createDataFrame([(f, 0, f"v{f % 3}", "user", 1) for f in range(5)], SEED)
+    reached = tnt.propagate(seeds, edges)
+    sets, counts = [], []
+    for size in (512, 0):
+        monkeypatch.setattr(groups, "IN_ROW", size)
+        before = len(tables)
+        passes, ways = tnt.propagate_passes(seeds, edges, 2), tnt.chains(reached, edges)
+        counts.append(len(tables) - before)
+        sets.append([sorted(map(tuple, passes.collect())), sorted((*row[:4], row.origin_line, *row.chain) for row in ways.collect())])
+    assert sets[0] == sets[1] and max(map(len, sets[0][1])) > 6
+    assert counts[0] == 2 < counts[1]
