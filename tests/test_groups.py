@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from seepline.operators import groups, joins, taint as tnt
+from seepline.operators import facts, groups, joins, taint as tnt
 
 EDGE = "file_id long, scope_id int, src string, dst string, label string, line_no int"
 SEED = "file_id long, scope_id int, var string, label string, line_no int"
@@ -68,3 +68,19 @@ def test_sweeps_and_chains_of_small_and_large_groups(spark, monkeypatch, tables)
         sets.append([sorted(map(tuple, passes.collect())), sorted((*row[:4], row.origin_line, *row.chain) for row in ways.collect())])
     assert sets[0] == sets[1] and max(map(len, sets[0][1])) > 6
     assert counts[0] == 2 < counts[1]
+
+
+def test_summaries_of_small_and_large_files(spark, monkeypatch, tables):
+    text = ["def a(p, q):", "  return q", "def r(p, q):", "  x = r(q, p)", "  y = a(1, p)", "  return y"]
+    for name, of in zip("bcdef", "abcde"):
+        text += [f"def {name}(p, q):", f"  x = {of}(p, q)", "  return x"]
+    lines = spark.createDataFrame([(f, "python", k + 1, t) for f in (1, 2) for k, t in enumerate(text[: 9 * f])], "file_id long, lang string, line_no int, text string")
+    scoped = facts.assign_scope(lines)
+    sets, counts = [], []
+    for size in (512, 40, 0):
+        monkeypatch.setattr(groups, "IN_ROW", size)
+        before = len(tables)
+        sets.append({(r.file_id, r.name): list(r.param_to_return) for r in tnt.summarize_functions(scoped, facts.extract_functions(lines)).collect()})
+        counts.append(len(tables) - before)
+    assert sets[0] == sets[1] == sets[2] and sets[0][2, "d"] == [1] and sets[0][1, "r"] == [0]
+    assert counts[0] == 5 < counts[2]
