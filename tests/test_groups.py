@@ -1,10 +1,12 @@
 """Closures of small groups in one row, and of large ones by hops."""
 
 import random
+from dataclasses import replace
 
 import pytest
 
-from seepline.operators import facts, groups, joins, taint as tnt
+from seepline.operators import detect as det, facts, groups, joins, taint as tnt
+from seepline.rules.model import Rule
 
 EDGE = "file_id long, scope_id int, src string, dst string, label string, line_no int"
 SEED = "file_id long, scope_id int, var string, label string, line_no int"
@@ -84,3 +86,13 @@ def test_summaries_of_small_and_large_files(spark, monkeypatch, tables):
         counts.append(len(tables) - before)
     assert sets[0] == sets[1] == sets[2] and sets[0][2, "d"] == [1] and sets[0][1, "r"] == [0]
     assert counts[0] == 5 < counts[2]
+
+
+def test_a_line_is_matched_once_and_by_its_language(spark):
+    rules = [Rule("a", "X", r"zzsink\(", "m", "HIGH/HIGH", near=r"zznear", near_frame=(-2, 0)), Rule("b", "X", r"yysink\(", "m", "HIGH/HIGH")]
+    rules = [replace(r, lang=lang) for r, lang in zip(rules, ("python", "java"), strict=True)]
+    rows = [(1, "python", 1, "zznear"), (1, "python", 2, "zzsink(yysink(1))"), (2, "java", 1, "yysink(zzsink(2))")]
+    got = det.match_rules(spark.createDataFrame(rows, "file_id long, lang string, line_no int, text string"), rules)
+    assert sorted((r.file_id, r.line_no, r.rule_no) for r in got.collect()) == [(1, 2, 0), (2, 1, 1)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Filter" in x and "sink" in x]
