@@ -7,12 +7,12 @@ has a threshold-like weight, calibrated on texts whose words the dictionaries ha
 document's score is a logistic function of its highest weight and its number of windows.
 
 Learning takes a bounded sample: at most `most` labelled rows of each class, in the order of a hash of their ids, each with
-its whole text: tasks take its distinct words and the number of its windows, and only these come to the driver. Scoring
+its whole text: tasks take its distinct words and the number of its windows, one task learns from these, and the model comes to the driver. Scoring
 reads every window of every whole text. Both cut windows by one function: a word longer than a window is cut in windows that
 overlap by half, so no expression of up to 32 bytes is parted. A window compressed once is remembered by the worker process.
 
 Texts of any length are read whole, one of over a million characters by itself. What stays of a text in learning is its
-distinct windows, so the driver's memory grows with `most` and the vocabulary of the sampled texts, not with the table.
+distinct windows, so the learning task's memory grows with `most` and the vocabulary of the sampled texts, not with the table.
 
 Null text is empty; empty texts get the score that no window gives. Without labels of both classes every score is the
 share of toxic labels (0 without any). Null ids are scored and never held out; rows are scored one by one, so
@@ -88,13 +88,18 @@ def dictionaries(texts: list[set[str]], toxic: list[bool], size: int = SIZE) ->
 
 
 class Windows:
-    """Cells of windows, by their compressed lengths under both dictionaries."""
+    """Cells of windows, by their compressed lengths under both dictionaries.
+
+    The carrier ends each dictionary, so that it costs the same to match however long the content is (a distance over another power of
+    two would shift all cells), and so that the content's last words, which tell most, can be matched: zstandard doesn't index a
+    dictionary's last bytes.
+    """
 
     def __init__(self, ordinary: bytes, toxic: bytes):
         import zstandard as z
 
         def compressor(content: bytes):
-            book = z.ZstdCompressionDict(CARRIER + content + b" ", dict_type=z.DICT_TYPE_RAWCONTENT)
+            book = z.ZstdCompressionDict(content + b" " + CARRIER, dict_type=z.DICT_TYPE_RAWCONTENT)
             how = z.ZstdCompressionParameters.from_level(
                 LEVEL, write_checksum=False, write_content_size=False, write_dict_id=False, format=z.FORMAT_ZSTD1_MAGICLESS, min_match=4
             )
@@ -186,6 +191,27 @@ def _read_texts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"id {kinds['id'].dataType.simpleString()}, toxic {kinds['toxic'].dataType.simpleString()}, words string, windows long")
 
 
+def _fitted(rows: DataFrame, share: float, size: int) -> DataFrame:
+    """One row, the fields of the model. rows: of `_read_texts`, a sample of bounded size, so one task learns from it and the driver gets the model only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, windows, toxic = [], [], []
+        for batch in batches:
+            for w, n, t in zip(*(batch.column(c).to_pylist() for c in ("words", "windows", "toxic")), strict=True):
+                words.append({sys.intern(x) for x in w.split(" ")} - {""})  # a word of many texts is held once
+                windows.append(n)
+                toxic.append(t == 1)
+        m = fit(words, windows, toxic, share, size)
+        yield pa.RecordBatch.from_pydict({
+            "ordinary": pa.array([m.ordinary], pa.binary()), "toxic": pa.array([m.toxic], pa.binary()),
+            "weights": pa.array([[float(x) for x in m.weights]], pa.list_(pa.float64())), "slopes": pa.array([[float(x) for x in m.slopes]], pa.list_(pa.float64())),
+            "share": pa.array([m.share], pa.float64()),
+        })
+
+    one = rows.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id")
+    return one.mapInArrow(run, "ordinary binary, toxic binary, weights array<double>, slopes array<double>, share double")
+
+
 def learn(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, most: int = 1000, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", size: int = SIZE) -> Model:
     """A model from at most 2 * most labelled rows, with dictionaries of at most `size` characters. learnable: over labels' id
     column, which rows may be learnt from."""
@@ -200,9 +226,10 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, m
     sample = parts[0].unionByName(parts[1])
     texts = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     whole = texts.join(F.broadcast(sample), "id").groupBy("id", "toxic").agg(F.min("text").alias("text"))
-    rows = _read_texts(whole).orderBy(F.xxhash64("id"), "id").collect()
-    words = [{sys.intern(w) for w in r["words"].split(" ")} - {""} for r in rows]  # a word of many texts is held once
-    return fit(words, [r["windows"] for r in rows], [r["toxic"] == 1 for r in rows], counts.get(1, 0) / total, size)
+    model = _fitted(_read_texts(whole), counts.get(1, 0) / total, size).first()
+    if model is None:
+        return Model(share=counts.get(1, 0) / total)
+    return Model(bytes(model["ordinary"]), bytes(model["toxic"]), tuple(model["weights"]), tuple(model["slopes"]), model["share"])
 
 
 _BOOKS: dict = {}

@@ -219,6 +219,34 @@ def test_size_of_dictionaries_is_a_parameter():
     assert all(len(x) <= 20 for x in small) and toxicity.dictionaries(words, flags)[1].endswith(small[1])
 
 
+def test_cells_do_not_depend_on_the_length_of_dictionaries():
+    r = random.Random(5)
+    words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(3, 9))) for _ in range(1500)]
+    low, high = " there  where  other ", " moron  stupid  pathetic  trash "
+    cells = set()
+    for n in (0, 40, 150, 500, 1200):
+        some = "".join(f" {w} " for w in words[:n])
+        book = toxicity.Windows((some + low).encode(), (some + high).encode())
+        cells.add(tuple(book.cell(w.encode()) for w in ("0815-4711", "moron", "trash", "there", "other")))
+    assert len(cells) == 1
+
+
+def test_toxicity_is_learnt_in_a_task(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"alpha beta gamma{k % 9} " + ("stupid" if k % 4 == 0 else "kind")) for k in range(80)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(80)], "doc_id long, toxic int")
+    want = toxicity.learn(docs, labels)
+    inner = toxicity.fit
+
+    def of_a_task(*given):
+        from pyspark import TaskContext
+
+        assert TaskContext.get() is not None
+        return inner(*given)
+
+    monkeypatch.setattr(toxicity, "fit", of_a_task)
+    assert toxicity.learn(docs, labels) == want and b"stupid" in want.toxic
+
+
 def test_toxicity_of_odd_documents(spark, odd, empty):
     labels = spark.createDataFrame([(1, 0), (7, 1), (8, 0), (9, None), (None, 1)], "doc_id long, toxic int")
     model = toxicity.learn(odd, labels)
