@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from seepline.operators import findings as fnd
 from seepline.plans import scan
@@ -15,14 +15,15 @@ from .q_sources import lines
 from .registry import query
 
 
-_TAINT: dict[tuple, scan.Taint] = {}
+_TAINT: dict[tuple, tuple[DataFrame, scan.Taint]] = {}
 
 
-def language_taint(spark, d, lang) -> scan.Taint:
-    """Taint of a language's files, written once per session and read by all its packs."""
+def language_taint(spark, d, lang) -> tuple[DataFrame, scan.Taint]:
+    """Lines of a language's files and their taint, written once per session and read by all its packs."""
     key = (spark.sparkContext.applicationId, d, lang)
     if key not in _TAINT:
-        _TAINT[key] = scan.write_taint(scan.file_taint(cut(lines(spark, d, (lang,))), [lang]))
+        written = cut(lines(spark, d, (lang,)))
+        _TAINT[key] = written, scan.write_taint(scan.file_taint(written, [lang]))
     return _TAINT[key]
 
 
@@ -30,8 +31,8 @@ def _register(lang: str, category: str, rules) -> None:
     labelled = any(r.label for r in rules)
 
     def run(spark, d):
-        taint = language_taint(spark, d, lang) if labelled else None
-        return fnd.dedup_findings(fnd.suppress_inline(scan.scan_language(lines(spark, d, (lang,)), lang, rules, taint)))
+        read, taint = language_taint(spark, d, lang) if labelled else (lines(spark, d, (lang,)), None)
+        return fnd.dedup_findings(fnd.suppress_inline(scan.scan_language(read, lang, rules, taint)))
 
     query(f"pack_{lang}_{category.lower()}", sf.pack_query(lang, rules, labelled))(run)
 
