@@ -92,3 +92,25 @@ def test_lines_that_call_no_function_of_their_file_arent_read_by_brackets(spark)
         assert got == sorted((r.line_no, r.src, r.dst) for r in evidence.argument_edges(scoped, params).collect()) and (2, "x", "a") in got and (6, "t", "a") in got
     finally:
         evidence._calling = monkey
+
+
+def test_lines_without_comments_are_read_once_for_all_seeds_and_edges(spark):
+    from seepline.functions import text as tx
+    from seepline.operators import facts
+    from seepline.plans import scan
+
+    langs = [l for l in LANGS if l != "webconfig"]
+    rows = [(1, l, n, t) for l in langs for n, t in enumerate(x for s in (*SHAPES[l], *samples(l), "  # a", "\t// b", "/* c", " * d", "x # e", 'f("a{b}", `c${d}`)', "g({e})", "") for x in s.split("\n"))]
+    lines = spark.createDataFrame(rows, "file_id long, lang string, line_no int, text string")
+    code = scan.taint_inputs(lines, langs)[0]
+    assert "RLIKE" not in code._jdf.queryExecution().optimizedPlan().toString()
+    comment = tx.by_language(F.col("lang"), lambda l: F.col("text").rlike(l.comment), langs)
+    assert sorted(map(str, code.collect())) == sorted(map(str, lines.filter(~comment).collect()))
+
+    def plain(l):
+        bare = F.regexp_extract_all(F.regexp_replace("text", l.literal, '""'), F.lit(l.token), F.lit(1))
+        inner = F.regexp_extract_all(F.array_join(F.regexp_extract_all("text", F.lit(l.interpolation), F.lit(1)), " "), F.lit(l.token), F.lit(1)) if l.interpolation else F.array().cast("array<string>")
+        return F.array_union(bare, inner)
+
+    both = lines.select(tx.identifiers(F.col("text"), F.col("lang"), langs).alias("a"), tx.by_language(F.col("lang"), plain, langs).alias("b"))
+    assert both.filter(~F.col("a").eqNullSafe(F.col("b"))).count() == 0
